@@ -1,8 +1,53 @@
-"""The corpus pipeline: language ID, toxicity, near duplicates, packing (stages follow)."""
+"""The corpus pipeline over ``documents``: language ID, toxicity, near duplicates, packing.
 
-STAGES = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame,
+which ``run`` writes as Parquet to the shared folder and reads again. All stages but the last return the
+columns of ``documents``.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm import language_id, packing, toxicity
+from spanloom.llm.common import labelled_sample, materialise, read_table, remainder
+from spanloom.llm.jaccard_join import keep_one_of_each_component
+from spanloom.llm.queries import TOKENIZERS
+
+#: A text further than this from every profile (score below it) is in no known language.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a known language: those with letters and a profile near enough."""
+    model = language_id.learn(docs, F.lit(True))
+    found = language_id.predict_language(docs, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that aren't predicted toxic."""
+    rows = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1, per_class={1: 1500, 0: 3000})
+    return toxicity.score_toxicity(docs, toxicity.fit(rows)).where(F.col("predicted") == 0).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates."""
+    return keep_one_of_each_component(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 1024 tokens."""
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+STAGES = [("language ID", language), ("toxicity", toxic), ("n-gram Jaccard join", near_duplicates), ("packing", packed)]
+ORACLE_SQL = None  # classifiers and tokenizers have no SQL; tests hold the stages against brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

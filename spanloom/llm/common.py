@@ -187,3 +187,21 @@ def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str =
     out = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return out.unionByName(roots)
+
+
+def with_columns(df: DataFrame, more: str) -> str:
+    """The schema of ``df`` as DDL with more columns."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """At most ``per_class[y]`` (text, label) rows of each label y, those with the least id hashes: bounded, and the same at every run."""
+    picked: list[int] = []
+    for y, most in sorted(per_class.items()):
+        rows = labels.where(may_learn & (F.col(label) == y)).select(id_col).distinct()
+        picked += [r[0] for r in rows.orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
+    if not picked:
+        return []
+    texts = docs.where(F.col(id_col).isin(picked) & F.col(text_col).isNotNull()).groupBy(id_col).agg(F.min(text_col).alias("t"))
+    ys = labels.where(F.col(id_col).isin(picked)).groupBy(id_col).agg(F.max(label).alias("y"))
+    return [(r[0], int(r[1])) for r in texts.join(ys, id_col).orderBy(F.xxhash64(id_col), id_col).select("t", "y").collect()]

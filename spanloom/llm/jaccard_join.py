@@ -54,7 +54,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         if n >= width:
             out.append(np.unique(full[a : a + n - width + 1]))
         elif n:
-            out.append(mix((h[a : a + n] * STEPS[:n]).sum(dtype=U64, keepdims=True) + U64(n) * STEPS[40]))
+            out.append(mix((h[a : a + n] * STEPS[:n]).sum(dtype=U64, keepdims=True) + STEPS[n : n + 1]))
         else:
             out.append(np.empty(0, U64))
     return out
@@ -274,3 +274,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     label = components(label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second).unionByName(same), src="a", dst="b")
     out = members.join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, all columns kept.
+
+    Rows without shingles and rows with a null id stay; of repeated rows with one id one stays.
+    """
+    found = materialise(ngram_jaccard_components(docs, id_col, text_col, width, threshold), "found")
+    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if again.isEmpty():
+        return kept
+    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)

@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read_table
+from . import language_id, packing, quality, toxicity
+from .common import labelled_sample, read_table, remainder
 from .jaccard_join import ngram_jaccard_components
 
+#: Where the vocabulary files of the public tokenizers lie.
+TOKENIZERS = os.environ.get("SPANLOOM_TOKENIZERS", "/opt/tokenizers")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1, per_class={1: 1500, 0: 3000})
+    scored = toxicity.score_toxicity(docs, toxicity.fit(rows))
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0, per_class={1: 1500, 0: 1500})
+    scored = quality.score_quality(docs, quality.fit(rows))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, remainder("doc_id", 4) != 2)
+    out = language_id.predict_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
@@ -28,9 +61,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-QUERIES = {
-    "op4_ngram_jaccard": op4_ngram_jaccard,
-}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_ngram_jaccard, op7_language_id, op9_packing)}
 ORACLES = {
     "op4_ngram_jaccard": OP4_SQL,
 }

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,58 +20,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches
-
-#: How byte-level BPE of this vocabulary splits a text (a fixed public value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
-WORDS = 200_000
-
+from .common import flat, materialise, slices, small_batches
+from .words import WordTable, plain_rows, split
 
 class ByteEncoder:
-    """ids of ``tokenizers`` for a byte-level BPE file, as little-endian 32-bit bytes, through a table of words seen.
+    """ids of ``tokenizers`` for a byte-level BPE file, for whole Arrow columns.
 
-    Texts outside Latin-1, with special tokens, or with characters on whose class regex engines may differ
-    go to the library itself as a whole.
+    Words are split by array operations and encoded once each (``WordTable``). Texts beyond Latin-1 letters,
+    and texts with special tokens in them, go to the library itself as a whole.
     """
 
     def __init__(self, tokenizer: str, ranks: str):
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.words: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.whole(text)
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        pieces = self.split(text)
-        get = self.words.__getitem__
-        try:
-            return b"".join(map(get, pieces))
-        except KeyError:
-            if len(self.words) > WORDS:
-                self.words.clear()
-            for p in set(pieces).difference(self.words):
-                if not ODD.isdisjoint(p):
-                    return self.whole(text)
-                self.words[p] = array("I", self.merge(p)).tobytes()
-            return b"".join(map(get, pieces))
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self.table = WordTable(self.words)
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.merge(w.decode()) for w in words]
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each row."""
+        data, offsets = flat(texts)
+        plain = plain_rows(data, offsets)
+        if any(s in data.tobytes() for s in self.special):
+            plain &= ~np.array([any(s in data[a:b].tobytes() for s in self.special) for a, b in zip(offsets[:-1], offsets[1:])], bool)
+        starts, ends = split(data, offsets, keep_space=True)
+        if not plain.all():
+            ok = plain[np.searchsorted(offsets, starts, side="right") - 1]
+            starts, ends = starts[ok], ends[ok]
+        ids, size = self.table.lookup(data, starts, ends)
+        at = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, offsets)]
+        out = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+        for i in np.flatnonzero(~plain):
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
+            out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+@cache
+def byte_encoder(tokenizer: str, ranks: str) -> ByteEncoder:
+    """One for each Python worker: the table of words serves its later tasks too."""
+    return ByteEncoder(tokenizer, ranks)
 
 
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,17 +102,16 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 def _cut(encoder_args: tuple[str, str], room: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, serial = ByteEncoder(*encoder_args), TaskContext.get().partitionId(), 0
-        end = array("I", [end_id]).tobytes()
+        encode, part, serial = byte_encoder(*encoder_args), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], np.uint32)
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = []
-                for i, text in zip(piece.column("doc_id").to_pylist(), piece.column("text")):
-                    ids = memoryview((encode(text.as_py()) if text.is_valid else b"") + end)
-                    total = len(ids) // 4
-                    for a in range(0, total, room):
-                        x = ids[4 * a : 4 * (a + room)]
-                        rows.append((i, a, len(x) // 4, zlib.crc32(x), total, part, serial))
+                for i, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text"))):
+                    ids = np.concatenate([ids, end]).astype("<u4")
+                    for a in range(0, len(ids), room):
+                        x = ids[a : a + room]
+                        rows.append((i, a, len(x), zlib.crc32(x), len(ids), part, serial))
                         serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [x.split()[0] for x in PIECES.split(", ")])
 

@@ -69,7 +69,7 @@ class SpeculativeBPE:
         self.made[c[::-1]], self.left[c[::-1]], self.right[c[::-1]] = rank[::-1], a[::-1], b[::-1]
         by = np.argsort(a * self.size + b, kind="stable")
         self.pairs, self.pair_rank = (a * self.size + b)[by], rank[by]
-        self.ranks = {(int(x), int(y)): (int(r), int(z)) for x, y, r, z in zip(a, b, rank, c)}
+        self.made_token = c
         self._trie(vocab, {c: i for i, c in enumerate(chars)})
         self.table = WordTable(self.words)
 
@@ -124,22 +124,37 @@ class SpeculativeBPE:
             live = live[more]
         return ok
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: the lowest rank first, from left to right."""
-        while len(ids) > 1:
-            best = min((self.ranks.get(p, (NEVER, 0)) for p in zip(ids, ids[1:])), key=lambda x: x[0])
-            if best[0] == NEVER:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.ranks.get((ids[i], ids[i + 1]), (NEVER, 0))[0] == best[0]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+    def merge(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each round each word merges its pairs of lowest rank, left to right."""
+        done_ids, done_word = [], []
+        while len(ids):
+            pair = ids[:-1] * self.size + ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            r = np.full(len(ids), NEVER)
+            r[:-1] = np.where((self.pairs[at] == pair) & (word[:-1] == word[1:]), self.pair_rank[at], NEVER)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(ids)))
+            low = np.repeat(np.minimum.reduceat(r, first), size)
+            over = low == NEVER
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            hit = (r == low) & ~over
+            # of pairs that share a token every other one, from the left
+            prev = np.concatenate([[False], hit[:-1]])
+            run = np.flatnonzero(hit & ~prev)
+            pos = np.arange(len(ids))
+            nth = pos - run[np.maximum(np.searchsorted(run, pos, side="right") - 1, 0)] if len(run) else pos
+            hit &= nth % 2 == 0
+            at = np.flatnonzero(hit)
+            ids = ids.copy()
+            ids[at] = self.made_token[r[at]]
+            gone = np.zeros(len(ids), bool)
+            gone[at + 1] = True
+            keep = ~gone & ~over
+            ids, word = ids[keep], word[keep]
+        ids, word = np.concatenate([*done_ids, np.empty(0, np.int64)]), np.concatenate([*done_word, np.empty(0, np.int64)])
+        by = np.argsort(word, kind="stable")
+        return ids[by], word[by]
 
     def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all words end to end, and how many each has."""
@@ -188,10 +203,12 @@ class SpeculativeBPE:
         word, token = word[keep], token[keep]
         fail = np.flatnonzero(failed)
         if len(fail):
-            start = end - n
-            exact = [self.merge([i for i in self.symbol[sym[start[k] : end[k]]].tolist() if i >= 0]) for k in fail.tolist()]
-            word = np.concatenate([word, np.repeat(fail, [len(x) for x in exact])])
-            token = np.concatenate([token, np.array([i for x in exact for i in x], np.int64)])
+            who = np.repeat(np.arange(len(n)), n)
+            take = failed[who]
+            ids = self.symbol[sym[take]]
+            there = ids >= 0
+            token2, word2 = self.merge(ids[there], who[take][there])
+            word, token = np.concatenate([word, word2]), np.concatenate([token, token2])
             by = np.argsort(word, kind="stable")
             word, token = word[by], token[by]
         return token.astype(np.uint32), np.bincount(word, minlength=len(n)).astype(np.int32)

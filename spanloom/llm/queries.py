@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality, toxicity
+from . import bpe, language_id, packing, quality, toxicity
 from .common import labelled_sample, read_table, remainder
 from .jaccard_join import ngram_jaccard_components
 
@@ -29,6 +29,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,7 +65,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op4_ngram_jaccard, op7_language_id, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_ngram_jaccard, op7_language_id, op9_packing)}
 ORACLES = {
     "op4_ngram_jaccard": OP4_SQL,
 }

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, language_id, packing, quality, toxicity
+from . import ann, bpe, embedding_dedup, language_id, packing, quality, toxicity, warc
 from .common import labelled_sample, read_table, remainder
 from .jaccard_join import ngram_jaccard_components
 
@@ -41,6 +41,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs, remainder("doc_id", 4) != 2)
@@ -83,8 +87,17 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.c AS component_id, e.vec
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) n ON n.a = e.vec_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) c ON c.a = e.vec_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_ngram_jaccard, op5_nearest, op7_language_id, op9_packing, op10_embedding_dedup)}
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (SELECT d, n, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY 1, 2)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN r.m <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r.m <> p.page_id THEN r.m END AS refers_to
+FROM p LEFT JOIN r USING (d, n)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_ngram_jaccard, op5_nearest, op6_warc, op7_language_id, op9_packing, op10_embedding_dedup)}
 ORACLES = {
+    "op6_warc": OP6_SQL,
     "op10_embedding_dedup": OP10_SQL,
     "op4_ngram_jaccard": OP4_SQL,
 }

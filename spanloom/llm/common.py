@@ -168,22 +168,22 @@ def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str =
     """
     a, b = F.col(src), F.col(dst)
     cur = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    cur = materialise(cur, name)
+    cur, before = materialise(cur, name), None
     while True:
         # large-star: every larger neighbour of u gets the least of u's neighbourhood
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: the smaller neighbours of u, and u, get the least of them
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         new = materialise(small, name)
-        # the same set of edges again: every node points at its root
-        a_, b_ = (d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (cur, new))
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(cur)
         cur = new
-        if a_ == b_:
+        if now == before or not now[0]:  # the same set of edges again: every node points at its root
             break
+        before = now
     out = cur.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return out.unionByName(roots)

@@ -11,9 +11,10 @@ intersected (with the size filter) before anything is verified.
 * One pass over the texts makes, for each block of documents, one sorted blob of token hashes for each
   hash bucket; a bucket's task counts the documents of each token and sends back the shared ones only.
 * Equal sets are one class; all other work is on class representatives.
-* Candidates: first every list of a prefix token is linked to two leaders only (linear); what these
-  links join is contracted; then only pairs from different components are made (in chunks, so a list
-  inside one component costs nothing), so no group of copies is ever expanded into its pairs.
+* Candidates: first every list of a prefix token is linked to two leaders only (linear), and what these
+  links join is contracted. Lists that still hold several components meet under their leader, in chunks
+  of bounded size: chunks are verified against chunks by matrix products inside a task, chunks of one
+  component not at all, and only links of a spanning forest come out. So no group is expanded into pairs.
 
 Tokens are 64-bit hashes of the word sequences, of which 48 bits and the bucket are kept; J is exact on those.
 """
@@ -36,7 +37,7 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 STEPS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 ORDERS = 3
-CHUNK = 256
+CHUNK = 128
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -219,6 +220,66 @@ def _verify(threshold: int):
     return run
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each set of ``a`` with each of ``b``, by a product of incidence matrices."""
+    both = np.intersect1d(np.concatenate([*a, np.empty(0, U64)]), np.concatenate([*b, np.empty(0, U64)]))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+
+        def incidence(sets: list[np.ndarray]) -> np.ndarray:
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                pos = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                m[i, pos[part[pos] == s]] = 1
+            return m
+
+        out += incidence(a) @ incidence(b).T
+    return out
+
+
+def _verify_blocks(threshold: int):
+    """Verifies chunks against chunks. Of the links found, those of a spanning forest over the components so far are returned."""
+
+    def side(x: pa.Array) -> dict[str, np.ndarray | list[np.ndarray]]:
+        out = {c: x.field(c).to_numpy() for c in ("id", "n", "c")}
+        return out | {c: [np.frombuffer(v.as_buffer(), U64) for v in x.field(c)] for c in ("tok", *(f"p{k}" for k in range(ORDERS)))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (side(batch.column(c)[i].values) for c in ("l", "r"))
+                big = np.maximum.outer(x["n"], y["n"])
+                maybe = (np.minimum.outer(x["n"], y["n"]) * 100 >= big * threshold) & (x["c"][:, None] != y["c"][None, :])
+                for k in range(ORDERS):
+                    if maybe.any():
+                        maybe &= _common(x[f"p{k}"], y[f"p{k}"]) > 0
+                if not maybe.any():
+                    continue
+                both = _common(x["tok"], y["tok"]).astype(np.int64)
+                linked = np.argwhere(maybe & (100 * both >= threshold * (np.add.outer(x["n"], y["n"]) - both)))
+                ends = np.stack([x["c"][linked[:, 0]], y["c"][linked[:, 1]]], 1)
+                _, first = np.unique(np.sort(ends, axis=1), axis=0, return_index=True)
+                root: dict[int, int] = {}
+
+                def find(v: int) -> int:
+                    while (up := root.get(v, v)) != v:
+                        root[v] = root.get(up, up)
+                        v = up
+                    return v
+
+                keep = []
+                for k in first.tolist():
+                    a, b = find(int(ends[k, 0])), find(int(ends[k, 1]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        keep.append(k)
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array(x["id"][linked[keep, 0]]), pa.array(y["id"][linked[keep, 1]])], ["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     side = lambda s: sets.select(*(F.col(c).alias({"id": s}.get(c, f"{c}_{s}")) for c in sets.columns))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a bigint, b bigint")
@@ -257,17 +318,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     first = materialise(_verified(star, sets, threshold), "links")
     label = components(first, src="a", dst="b")
 
+    # what the first links leave apart meets again under the leader of each list that holds several components
     posts = posts.join(label, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    # chunks: a list inside one component is at most a row for each CHUNK members or so
-    per = posts.join(mixed, "t").groupBy("t", "c").count().withColumn("k", F.ceil(F.col("count") / CHUNK))
-    lists = posts.join(per.drop("count"), ["t", "c"]).groupBy("t", "c", F.pmod(F.xxhash64("id"), "k").alias("salt")).agg(F.collect_list(F.struct("id", "n")).alias("x"))
-    lists = materialise(lists.select("t", "c", "x"), "lists")
-    cross = lists.alias("l").join(lists.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.c") < F.col("r.c")))
-    cross = cross.select(F.explode("l.x").alias("l"), F.col("r.x").alias("r")).select("l", F.explode("r").alias("r"))
-    cross = cross.select(F.col("l.id").alias("id"), F.col("l.n").alias("n"), F.col("r.id").alias("other"), F.col("r.n").alias("m")).where(fits)
-    cross = cross.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    second = _verified(cross, sets, threshold)
+    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("leader")).where("lo < hi").select("t", "leader")
+    groups = materialise(posts.join(mixed, "t").select("leader", "id", "c").distinct(), "groups")
+    parts = groups.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
+    chunks = groups.join(parts, "leader").join(sets, "id").groupBy("leader", F.pmod(F.xxhash64("id"), "k").alias("k"))
+    chunks = chunks.agg(F.collect_list(F.struct("id", "n", "c", "tok", *(f"p{k}" for k in range(ORDERS)))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    chunks = materialise(chunks, "chunks")
+    l, r = chunks.alias("l"), chunks.alias("r")
+    pairs = l.join(r, (F.col("l.leader") == F.col("r.leader")) & (F.col("l.k") <= F.col("r.k")) & (F.least("l.lo", "r.lo") < F.greatest("l.hi", "r.hi")))
+    second = pairs.select(F.col("l.x").alias("l"), F.col("r.x").alias("r")).mapInArrow(_verify_blocks(threshold), "a bigint, b bigint")
 
     # classes, versions of one id and links together
     same = members.where("n > 0 and id is not null").join(classes.where("size > 1"), ["sig_a", "sig_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))

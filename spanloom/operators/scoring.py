@@ -164,10 +164,10 @@ def at_k(gold: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10), k
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
     """The points of the ROC curve, by falling score. Ties share a point. The window goes over distinct scores."""
-    per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
+    per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = per.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-    return per.join(F.broadcast(tot)).select("score", F.try_divide(F.sum("p").over(w), F.col("P")).alias("tpr"), F.try_divide(F.sum("n").over(w), F.col("N")).alias("fpr"))
+    tot = per.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    return per.join(F.broadcast(tot)).select("score", F.try_divide(F.sum("pos").over(w), F.col("all_pos")).alias("tpr"), F.try_divide(F.sum("neg").over(w), F.col("all_neg")).alias("fpr"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:

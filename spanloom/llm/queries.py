@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, language_id, packing, quality, toxicity, warc
+from . import ann, bpe, embedding_dedup, language_id, license_scan, packing, quality, toxicity, warc
 from .common import labelled_sample, read_table, remainder
 from .jaccard_join import ngram_jaccard_components
 
@@ -52,6 +52,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "coverage", "n_found")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
@@ -95,7 +99,7 @@ SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.d AS payload_digest,
 FROM p LEFT JOIN r USING (d, n)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_ngram_jaccard, op5_nearest, op6_warc, op7_language_id, op9_packing, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_ngram_jaccard, op5_nearest, op6_warc, op7_language_id, op8_license_scan, op9_packing, op10_embedding_dedup)}
 ORACLES = {
     "op6_warc": OP6_SQL,
     "op10_embedding_dedup": OP10_SQL,

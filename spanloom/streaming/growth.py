@@ -13,12 +13,12 @@ def read_batches(spark: SparkSession, path: str, schema: str, per_trigger: int =
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts by tumbling window and keys; windows close when the watermark has passed."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
 
 
 def first_seen(stream: DataFrame, time: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """G12 as a stream: a row for each key at its first arrival within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", fmt: str = "parquet"):

@@ -72,9 +72,8 @@ def classify(model: dict, texts: pa.Array) -> tuple[list[str], list[float]]:
         mine = ranking(keys, most)
         at = np.searchsorted(grams, mine)
         at[grams[np.minimum(at, len(grams) - 1)] != mine] = len(grams)
-        d = np.abs(ranks[at] - np.arange(len(mine))[:, None])
-        d[at == len(grams)] = most
-        d = d.sum(0)
+        theirs = ranks[at]
+        d = np.where(theirs == most, most, np.abs(theirs - np.arange(len(mine))[:, None])).sum(0)
         best = int(d.argmin())
         preds.append(langs[best])
         scores.append(1.0 - float(d[best]) / (most * len(mine)))

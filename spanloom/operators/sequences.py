@@ -123,3 +123,15 @@ def sequence_scores(df: DataFrame, gold: str, pred: str, key: str) -> DataFrame:
     same = F.arrays_zip(F.col(gold).alias("g"), F.col(pred).alias("p"))
     acc = df.agg((F.sum(F.size(F.filter(same, lambda x: x["g"] == x["p"]))) / F.sum(F.size(same))).alias("accuracy"))
     return out.join(F.broadcast(acc))
+
+
+def tokens_near(tokens: DataFrame, spans_: DataFrame, key: str = "passage_id") -> DataFrame:
+    """Tokens that begin or end within a span, both ends included: what surrounds a span that matched nothing."""
+    t = tokens.select(F.col(key).alias("__k"), F.col("pos").alias("t_pos"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
+    within = F.col("t_start").between(F.col("start"), F.col("end")) | F.col("t_end").between(F.col("start"), F.col("end"))
+    return spans_.join(t, (F.col(key) == F.col("__k")) & within).drop("__k")
+
+
+def write_order(df: DataFrame, order: list[str]) -> DataFrame:
+    """Results in input order again, whatever order partitions finished in."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)

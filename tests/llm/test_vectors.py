@@ -54,7 +54,7 @@ def test_pigeonhole_misses_nothing():
 
 
 def test_nearest_few_rows(spark):
-    x = vectors(30, 8, 3)[:6]
+    x = vectors(60, 8, 3)[:6]
     got = A.nearest(table(spark, x, odd=False), query_mod=2, k=20)
     assert got.groupBy("query_id").count().select("count").distinct().collect()[0][0] == 5
     assert A.nearest(table(spark, x).limit(0)).count() == 0

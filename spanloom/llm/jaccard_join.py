@@ -299,6 +299,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # no statistics (not read from files): count instead of guessing
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(16, max(6, (size >> 23).bit_length()))
     scanned = docs.mapInArrow(_scan("id", "text", width, bits), "bucket int, block bigint, idx binary, hi binary, lo binary")
     counted = materialise(scanned.groupBy("bucket").applyInArrow(_count(bits), "block bigint, meta boolean, idx binary, tok binary, level binary"), "shared")

@@ -30,6 +30,7 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LINES = 2000
 ROLL = 1 << 30
+BROADCAST_ROWS = 100_000  # of 16 bytes each
 
 
 def surt(url: str | None) -> str:
@@ -218,8 +219,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     light = materialise(light, "digests")
     chosen = light.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
     revisits = light.join(chosen, ["sha", "n"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+    revisits = materialise(revisits, "revisits")
+    # a short list of revisits spares the pages a shuffle; a long one is joined by sorting
+    known = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     folder, index = fresh_path(spark, "warc"), fresh_path(spark, "cdx")
-    rows = pages.where("page_id is not null").join(revisits, "page_id", "left").unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("bigint")))
+    rows = pages.where("page_id is not null").join(known, "page_id", "left").unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("bigint")))
     lines = materialise(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder), "key string, page_id bigint, file string, at bigint, size bigint, revisit boolean"), "captures")
     ordered = lines.select("key", "page_id", "file", "at", "size").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
     parts = materialise(ordered.mapInArrow(_write_index(index), "first string, name string"), "parts")

@@ -30,6 +30,7 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LINES = 2000
 ROLL = 1 << 30
+LOOKUPS = 5000  # in a task
 BROADCAST_ROWS = 100_000  # of 16 bytes each
 
 
@@ -266,7 +267,8 @@ def read_archives(written: dict) -> DataFrame:
     lines: DataFrame = written["lines"]
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     files = lines.select("file").distinct()
-    back = files.mapInArrow(_read_back(written["archives"]), schema)
+    # a task for each archive: file names are too few bytes for the planner to spread by itself
+    back = files.repartition(max(1, files.count())).mapInArrow(_read_back(written["archives"]), schema)
     targets = written["revisits"].select("refers_to").distinct()
     keys = lines.where("not revisit").join(targets, lines["page_id"] == targets["refers_to"]).select("key", "page_id").distinct()
     spark = lines.sparkSession
@@ -280,6 +282,7 @@ def read_archives(written: dict) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["target", "bytes"])
 
-    known = keys.sort("key").mapInArrow(sizes, "target bigint, bytes bigint").groupBy("target").agg(F.max("bytes").alias("bytes"))
+    ordered = keys.repartitionByRange(max(1, -(-targets.count() // LOOKUPS)), "key").sortWithinPartitions("key")
+    known = ordered.mapInArrow(sizes, "target bigint, bytes bigint").groupBy("target").agg(F.max("bytes").alias("bytes"))
     out = back.join(known, back["refers_to"] == known["target"], "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

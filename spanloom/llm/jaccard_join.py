@@ -77,7 +77,7 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
                 size = np.array([len(s) for s in sets], np.int64)
                 sig = np.array([(mix(s).sum(dtype=U64), mix(s ^ STEPS[50]).sum(dtype=U64)) for s in sets], U64).reshape(-1, 2)
                 # equal sets of the block send their tokens once, under the smallest id
-                order = np.lexsort((ids, sig[:, 1], sig[:, 0]))
+                order = np.lexsort((ids, null, sig[:, 1], sig[:, 0]))  # a null id leads no set that has others
                 s = sig[order]
                 lead = np.ones(len(order), bool)
                 lead[1:] = (s[1:] != s[:-1]).any(1)

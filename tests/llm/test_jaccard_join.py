@@ -123,3 +123,11 @@ def test_components(spark):
     touched = {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: root[v] for v in touched}
     assert components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_a_null_id_does_not_hide_its_copies(spark):
+    """The row without an id sends nothing itself, so a copy with an id must send the text of both."""
+    text = " ".join(f"c{i}" for i in range(40))
+    rows = [(None, text), (2, text), (4, text + " end"), (6, None)]
+    got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 36, None), (2, 36, 2), (4, 37, 2), (6, 0, 6)], key=str)

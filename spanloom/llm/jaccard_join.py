@@ -8,8 +8,10 @@ intersected (with the size filter) before anything is verified.
 * All orders put rare tokens first; tokens found in one document only can't be shared, so they fill a
   prefix but are never indexed. In prose they fill nearly every prefix: what is left is the documents
   that consist of shared text by four fifths.
-* One pass over the texts makes, for each block of documents, one sorted blob of token hashes for each
-  hash bucket; a bucket's task counts the documents of each token and sends back the shared ones only.
+* One pass over the texts makes, for each block of documents, one sorted blob of distinct token hashes for
+  each hash bucket; a bucket's task counts the documents of each token and sends back the shared ones only.
+  A token of several documents of a block goes to its bucket once, with their number, and the list of them
+  goes straight to the block: a token that a third of all documents hold is one entry a block.
 * Equal sets are one class; all other work is on class representatives.
 * Candidates: first every list of a prefix token is linked to two leaders only (linear), and what these
   links join is contracted. Lists that still hold several components meet under their leader, in chunks
@@ -38,6 +40,8 @@ IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 STEPS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 ORDERS = 3
 CHUNK = 128
+#: In place of a document's position in its block: several documents of the block hold the token.
+SEVERAL = 0xFFFF
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -62,7 +66,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
 
 
 def _scan(id_col: str, text_col: str, width: int, bits: int):
-    """Rows (bucket, block, ids, hi, lo): what a block of documents sends to each bucket; bucket -1-x holds the block's documents."""
+    """Rows (bucket, block, idx, hi, lo, many): what a block of documents sends to each bucket.
+
+    ``idx`` holds documents by position; ``many`` the numbers of documents of the tokens whose ``idx`` is SEVERAL.
+    Bucket -1-x holds the block's documents (``idx``) and of such tokens the hashes (``hi``), documents (``lo``) and
+    numbers of documents (``many``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
@@ -85,25 +94,40 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
                 sender[order[lead]] = True
                 sender &= ~null & (size > 0)
                 meta = np.rec.fromarrays([ids, size, sig[:, 0].view(np.int64), sig[:, 1].view(np.int64), null], names="id,n,a,b,null")
-                rows = [(-1 - block % (1 << bits), block, meta.astype(META).tobytes(), b"", b"")]
                 who = np.flatnonzero(sender)
+                rows, local = [], (b"", b"", b"")
                 if len(who):
                     tok = np.concatenate([sets[i] for i in who])
                     idx = np.repeat(who.astype(np.uint16), size[who])
                     by = np.argsort(tok)
                     tok, idx = tok[by], idx[by]
+                    edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
+                    held = np.diff(edge)
+                    among = np.repeat(held > 1, held)
+                    tok, several = tok[edge[:-1]], held > 1
+                    local = (kept_bits(tok[several], bits).tobytes(), idx[among].tobytes(), held[several].astype(np.uint16).tobytes())
+                    idx = np.where(several, np.uint16(SEVERAL), idx[edge[:-1]])
                     cut = np.searchsorted(tok >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
                     rest = (tok << U64(bits)) >> U64(16)  # 48 bits
                     for b in np.flatnonzero(np.diff(cut)):
                         x = rest[cut[b] : cut[b + 1]]
                         gap = np.diff((x >> U64(32)).astype(np.int64), prepend=0)
                         wide = gap.max() > 255
-                        rows.append((int(b), block, idx[cut[b] : cut[b + 1]].tobytes(), gap.astype(np.uint16 if wide else np.uint8).tobytes(), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "idx", "hi", "lo"])
+                        span = slice(cut[b], cut[b + 1])
+                        many = held[span][several[span]].astype(np.uint16).tobytes()
+                        rows.append((int(b), block, idx[span].tobytes(), gap.astype(np.uint16 if wide else np.uint8).tobytes(), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), many))
+                rows.append((-1 - block % (1 << bits), block, meta.astype(META).tobytes(), *local))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "block", "idx", "hi", "lo", "many"])
 
     return run
 
 
+def kept_bits(tok: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket and the 48 bits below it, the same for tokens that travelled and those that stayed."""
+    drop = U64(max(0, 16 - bits))
+    return tok >> drop << drop
+
+
 META = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<i8"), ("b", "<i8"), ("null", "?")])
 
 
@@ -115,33 +139,37 @@ def _count(bits: int):
         bucket = table.column("bucket")[0].as_py()
         blocks = table.column("block").to_pylist()
         if bucket < 0:
-            out = [(k, True, m.as_py(), b"", b"") for k, m in zip(blocks, table.column("idx"))]
+            out = [(k, True, *(x.as_py() for x in row)) for k, *row in zip(blocks, *(table.column(c) for c in ("idx", "hi", "lo", "many")))]
         else:
-            toks, idxs = [], []
-            for a, h, low in zip(table.column("idx"), table.column("hi"), table.column("lo")):
+            toks, idxs, held = [], [], []
+            for a, h, low, many in zip(*(table.column(c) for c in ("idx", "hi", "lo", "many"))):
                 idx, lo = np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(low.as_buffer(), np.uint32)
                 hb = h.as_buffer()
                 hi = np.cumsum(np.frombuffer(hb, np.uint8 if hb.size == len(lo) else np.uint16), dtype=U64)
-                toks.append(U64(bucket) << U64(64 - bits) | (hi << U64(32) | lo) << U64(16 - bits))
+                toks.append(U64(bucket) << U64(64 - bits) | (hi << U64(32) | lo) << U64(16) >> U64(bits))
                 idxs.append(idx)
+                w = np.ones(len(idx), np.int64)
+                w[idx == SEVERAL] = np.frombuffer(many.as_buffer(), np.uint16)
+                held.append(w)
             size = [len(x) for x in toks]
             tok, idx, src = np.concatenate(toks), np.concatenate(idxs), np.repeat(np.arange(len(size)), size)
             toks.clear()
             by = np.argsort(tok, kind="stable")
             t = tok[by]
             edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
-            n = np.diff(edge)
-            shared = np.repeat(n > 1, n)
-            level = np.minimum(np.log2(np.repeat(n, n)[shared]) * 8, 255).astype(np.uint8)
+            n = np.add.reduceat(np.concatenate(held)[by], edge[:-1])
+            shared = np.repeat(n > 1, np.diff(edge))
+            level = np.minimum(np.log2(np.repeat(n, np.diff(edge))[shared]) * 8, 255).astype(np.uint8)
             keep = by[shared]
             back = np.argsort(src[keep], kind="stable")
             keep, level = keep[back], level[back]
             cut = np.searchsorted(src[keep], np.arange(len(size) + 1))
             for k in np.flatnonzero(np.diff(cut)):
                 w = keep[cut[k] : cut[k + 1]]
-                out.append((blocks[k], False, idx[w].tobytes(), tok[w].tobytes(), level[cut[k] : cut[k + 1]].tobytes()))
-        cols = list(zip(*out)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["block", "meta", "idx", "tok", "level"])
+                out.append((blocks[k], False, idx[w].tobytes(), tok[w].tobytes(), b"", level[cut[k] : cut[k + 1]].tobytes()))
+        # of the block's own row tok, held_by and level are the hashes, documents and numbers of documents of its tokens in several
+        cols = list(zip(*out)) or [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), *[pa.binary()] * 4))], ["block", "meta", "idx", "tok", "held_by", "level"])
 
     return run
 
@@ -164,9 +192,10 @@ def _prefixes(threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         meta, idxs, toks, levels = None, [], [], []
-        for m, a, t, v in zip(*(table.column(c) for c in ("meta", "idx", "tok", "level"))):
+        for m, a, t, h, v in zip(*(table.column(c) for c in ("meta", "idx", "tok", "held_by", "level"))):
             if m.as_py():
                 meta = np.frombuffer(a.as_buffer(), META)
+                own, docs, number = np.frombuffer(t.as_buffer(), U64), np.frombuffer(h.as_buffer(), np.uint16), np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64)
             else:
                 idxs.append(np.frombuffer(a.as_buffer(), np.uint16))
                 toks.append(np.frombuffer(t.as_buffer(), U64))
@@ -174,6 +203,12 @@ def _prefixes(threshold: int):
         rows = []
         if toks:
             idx, tok, level = map(np.concatenate, (idxs, toks, levels))
+            among = idx == SEVERAL
+            if among.any():  # every token in several documents of the block is shared, so all of them came back
+                by = np.argsort(tok[among], kind="stable")
+                tok = np.concatenate([tok[~among], np.repeat(own, number)])
+                level = np.concatenate([level[~among], np.repeat(level[among][by], number)])
+                idx = np.concatenate([idx[~among], docs])
             by = np.lexsort((tok, idx))
             idx, tok, level = idx[by], tok[by], level[by]
             cut = np.searchsorted(idx, np.arange(len(meta) + 1))
@@ -301,10 +336,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:  # no statistics (not read from files): count instead of guessing
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(6, (size >> 23).bit_length()))
-    scanned = docs.mapInArrow(_scan("id", "text", width, bits), "bucket int, block bigint, idx binary, hi binary, lo binary")
-    counted = materialise(scanned.groupBy("bucket").applyInArrow(_count(bits), "block bigint, meta boolean, idx binary, tok binary, level binary"), "shared")
-    members = counted.where("meta").mapInArrow(_unpack_meta, "id bigint, n bigint, sig_a bigint, sig_b bigint")
+    bits = min(18, max(6, (size >> 23).bit_length()))
+    scanned = docs.mapInArrow(_scan("id", "text", width, bits), "bucket int, block bigint, idx binary, hi binary, lo binary, many binary")
+    counted = materialise(scanned.groupBy("bucket").applyInArrow(_count(bits), "block bigint, meta boolean, idx binary, tok binary, held_by binary, level binary"), "shared")
+    members = counted.where("meta").select("idx").mapInArrow(_unpack_meta, "id bigint, n bigint, sig_a bigint, sig_b bigint")
     members = materialise(members, "members")
     classes = members.where("n > 0 and id is not null").groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     schema = "id bigint, n bigint, tok binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))

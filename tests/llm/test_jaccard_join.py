@@ -131,3 +131,19 @@ def test_a_null_id_does_not_hide_its_copies(spark):
     rows = [(None, text), (2, text), (4, text + " end"), (6, None)]
     got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 36, None), (2, 36, 2), (4, 37, 2), (6, 0, 6)], key=str)
+
+
+@pytest.mark.parametrize("bits", [6, 16, 18])
+def test_tokens_come_back_whole_from_their_bucket(bits):
+    """What a bucket restores equals what stays with the block, and tokens of several documents keep their number."""
+    tok = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+    bucket = int(tok[0] >> np.uint64(64 - bits))
+    tok = tok[tok >> np.uint64(64 - bits) == bucket]
+    rest = tok << np.uint64(bits) >> np.uint64(16)
+    hi, lo = (rest >> np.uint64(32)).astype(np.int64), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    idx, many = np.full(len(tok), J.SEVERAL, np.uint16), np.full(len(tok), 16, np.uint16)
+    kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    row = (bucket, 7, idx.tobytes(), np.diff(hi, prepend=0).astype(np.uint16).tobytes(), lo.tobytes(), many.tobytes())
+    out = J._count(bits)(pa.table([pa.array([v], t) for v, t in zip(row, kinds)], ["bucket", "block", "idx", "hi", "lo", "many"]))
+    assert np.array_equal(np.sort(np.frombuffer(out.column("tok")[0].as_py(), np.uint64)), J.kept_bits(tok, bits))
+    assert set(out.column("level")[0].as_py()) == {32}  # 8 * log2(16)

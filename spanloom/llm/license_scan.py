@@ -4,8 +4,9 @@ Words that are unique in both template and text window anchor the alignment: the
 their places stays, and the gaps between neighbouring anchors are aligned in the same way, after matching their
 common ends. The share of a template's words that is matched is its coverage.
 
-Windows lie around the trigger words of a template and are of bounded size, so a text of any length is scanned
-in linear time, and a second copy of a license doesn't take the anchors of the first.
+Windows lie around the seed words of a template and are of bounded size, so a text of any length is scanned
+in linear time. Seeds are as many words of the template as an alignment may leave out, and one more, so that no
+alignment with enough coverage is without one.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ TEMPLATES = {
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
 }
-TRIGGERS = ("license", "licensed", "licence", "licenced", "permission", "redistribute", "redistribution")
+# Words that are no seeds as long as a template has enough others: this is about speed, results don't depend on it.
+COMMON = frozenset("a above all and any are at be by conditions copies copy following for free from in is it may must not of on or person provided purpose subject that the this to under use whom with without work you".split())
 WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -101,8 +103,11 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8):
         self.least = least
         self.templates = [(name, words(t)[0]) for name, texts in sorted(templates.items()) for t in texts]
-        self.triggers = [sorted({i for i, w in enumerate(t) if w in TRIGGERS}) for _, t in self.templates]
-        self.pattern = "|".join(TRIGGERS)
+        self.need = [max(1, next((m for m in range(len(t) + 1) if m / len(t) >= least), len(t) + 1)) for _, t in self.templates]
+        self.seeds = [sorted(sorted(range(len(t)), key=lambda i: (t[i] in COMMON, -len(t[i]), i))[: len(t) - need + 1]) for (_, t), need in zip(self.templates, self.need)]
+        self.words = {t[i] for (_, t), seeds in zip(self.templates, self.seeds) for i in seeds}
+        # a text without a match has no seed; a match may be a part of a longer word
+        self.pattern = "(?:^|[^a-z0-9])(?:" + "|".join(sorted(map(re.escape, self.words))) + ")(?:[^a-z0-9]|$)"
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of each place with enough coverage, best first; places don't overlap.
@@ -112,10 +117,10 @@ class Scanner:
         tokens, spans = words(text)
         at: dict[str, list[int]] = {}
         for j, w in enumerate(tokens):
-            if w in TRIGGERS:
+            if w in self.words:
                 at.setdefault(w, []).append(j)
         found = []
-        for (name, t), places in zip(self.templates, self.triggers):
+        for (name, t), places in zip(self.templates, self.seeds):
             done = -1
             for j in sorted({j for i in places for j in at.get(t[i], [])}):
                 if j <= done:
@@ -151,7 +156,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", least: float = 0.8) -
         for batch in batches:
             for piece in slices(batch, text_col):
                 column = pc.fill_null(piece.column(text_col), "")
-                maybe = pc.match_substring_regex(column, scanner.pattern, ignore_case=True).to_pylist()
+                maybe = pc.match_substring_regex(column, scanner.pattern, ignore_case=True).to_pylist() if scanner.words else [False] * len(column)
                 hits = [scanner.scan(t.as_py()) if m else [] for t, m in zip(column, maybe)]
                 more = [
                     pa.array([h[0][0] if h else None for h in hits], pa.string()),

@@ -158,3 +158,20 @@ def test_licenses_by_brute_force(spark):
     for r in queries.QUERIES["op8_license_scan"](spark, sf).collect():
         there = {k for k, v in S.TEMPLATES.items() if any(t in texts[r["doc_id"]] for t in v)}
         assert (r["license"] in there) if there else r["license"] is None
+
+
+def test_licenses_without_usual_words(spark):
+    rows = [(0, "Released under CC BY 4.0."), (1, "Available under CC BY 4.0."), (2, "so: LICENCED UNDER CC BY-NC 4.0, ok"), (3, "_Licensed_ under CC BY 3.0"), (4, "Offered under CC BY 3.0"), (5, "Issued under the MIT License")]
+    got = {r["doc_id"]: (r["license"], r["coverage"], r["n_found"]) for r in S.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {0: ("CC-BY-4.0", 0.8, 1), 1: ("CC-BY-4.0", 0.8, 1), 2: ("CC-BY-NC-4.0", 0.8, 1), 3: ("CC-BY-4.0", 0.8, 1), 4: (None, 0.0, 0), 5: ("MIT", 0.8, 1)}
+
+
+def test_license_texts_have_seeds():
+    scanner, r = S.Scanner(), random.Random(5)
+    for (name, t), need, seeds in zip(scanner.templates, scanner.need, scanner.seeds):
+        assert need / len(t) >= 0.8 > (need - 1) / len(t)
+        for _ in range(60):
+            out = set(r.sample(range(len(t)), len(t) - need))
+            text = " ".join(["q0 q1", *(("zz" if r.random() < 0.5 else "") if i in out else w for i, w in enumerate(t)), "q2"])
+            assert set(seeds) - out, name
+            assert pa.compute.match_substring_regex(pa.array([text]), scanner.pattern, ignore_case=True)[0].as_py()

@@ -1,8 +1,11 @@
-"""License scans by patience alignment of texts with license templates.
+"""License scans: the best alignments of any windows of a text with license templates.
 
-Words that are unique in both template and text window anchor the alignment: the longest increasing subsequence of
-their places stays, and the gaps between neighbouring anchors are aligned in the same way, after matching their
-common ends. The share of a template's words that is matched is its coverage.
+The coverage of a window is the longest common subsequence of its words and the template's, as a share of the
+template's words. Every start is tried, and for each number of matched words the shortest windows count. Of a
+template there are as many disjoint places as possible, so any number of copies may follow each other, and each
+then has the best coverage that leaves the others theirs. Patience alignment (words that are unique in both, their
+longest increasing subsequence, the gaps in the same way) is a lower bound of that coverage: it loses words that
+the window repeats. The tests hold the scan against it, run on every window.
 
 Windows lie around the seed words of a template and are of bounded size, so a text of any length is scanned
 in linear time. Seeds are as many words of the template as an alignment may leave out, and one more, so that no
@@ -12,7 +15,7 @@ alignment with enough coverage is without one.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -99,6 +102,26 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Spans:
+    """Disjoint (first, last), in order."""
+
+    def __init__(self):
+        self.firsts: list[int] = []
+        self.lasts: list[int] = []
+
+    def meets(self, first: int, last: int) -> range:
+        """The indexes of those that overlap."""
+        return range(bisect_left(self.lasts, first), bisect_right(self.firsts, last))
+
+    def add(self, first: int, last: int) -> bool:
+        if self.meets(first, last):
+            return False
+        i = bisect_right(self.firsts, last)
+        self.firsts.insert(i, first)
+        self.lasts.insert(i, last)
+        return True
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.8):
         self.least = least
@@ -106,38 +129,96 @@ class Scanner:
         self.need = [max(1, next((m for m in range(len(t) + 1) if m / len(t) >= least), len(t) + 1)) for _, t in self.templates]
         self.seeds = [sorted(sorted(range(len(t)), key=lambda i: (t[i] in COMMON, -len(t[i]), i))[: len(t) - need + 1]) for (_, t), need in zip(self.templates, self.need)]
         self.words = {t[i] for (_, t), seeds in zip(self.templates, self.seeds) for i in seeds}
+        # of the rare words of a template an alignment leaves out as many as of all: the others are in each window
+        rare = [[i for i, w in enumerate(t) if w not in COMMON] for _, t in self.templates]
+        left = [len(t) - need for (_, t), need in zip(self.templates, self.need)]
+        self.rare = [({t[i] for i in r}, len(r) - n) if len(r) > n else ({t[i] for i in seeds}, 1) for (_, t), r, n, seeds in zip(self.templates, rare, left, self.seeds)]
+        self.rare_words = set().union(*(r for r, _ in self.rare))
+        self.masks: list[dict[str, int]] = []
+        for _, t in self.templates:
+            self.masks.append({})
+            for i, w in enumerate(t):
+                self.masks[-1][w] = self.masks[-1].get(w, 0) | 1 << i
         # a text without a match has no seed; a match may be a part of a longer word
         self.pattern = "(?:^|[^a-z0-9])(?:" + "|".join(sorted(map(re.escape, self.words))) + ")(?:[^a-z0-9]|$)"
 
+    def windows(self, k: int, tokens: list[str], places: list[int]) -> list[tuple[int, int, int]]:
+        """(matched words, first, last) of the windows that no window within them equals; ``places`` are those of rare words."""
+        n, need, masks, most = len(self.templates[k][1]), self.need[k], self.masks[k], self.rare[k][1]
+        if need > n:
+            return []
+        width = 2 * n + 5
+        hits: list[tuple[int, int]] = []  # (place, template positions as bits) of template words, in dense parts
+        done = 0
+        for i in range(len(places) - most + 1):
+            if places[i + most - 1] - places[i] < width:
+                lo, hi = max(done, places[i + most - 1] - width + 1), min(len(tokens), places[i] + width)
+                hits += [(j, m) for j in range(lo, hi) if (m := masks.get(tokens[j]))]
+                done = max(done, hi)
+        full, early = (1 << n) - 1, (1 << n - need + 1) - 1
+        out = []
+        ends = [len(tokens)] * (n + 1)  # the least last place by matched words (or more), of later starts
+        for x in range(len(hits) - need, -1, -1):
+            first, m = hits[x]
+            if not m & early or bisect_left(places, first + width) - bisect_left(places, first) < most:
+                continue
+            free, count = full, 0  # the bits of Hyyro's bit-parallel longest common subsequence
+            for y in range(x, len(hits)):
+                last, m = hits[y]
+                if last - first >= width or ends[n] <= last:
+                    break
+                u = free & m
+                if u:
+                    free = (free + u | free - u) & full
+                    if (now := n - free.bit_count()) > count:
+                        count = now
+                        if count >= need and ends[count] > last:
+                            out.append((count, first, last))
+                            for v in range(count, 0, -1):
+                                if ends[v] <= last:
+                                    break
+                                ends[v] = last
+        return out
+
+    def places(self, k: int, windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Disjoint windows, as many as possible: whole copies, then those that end first, each widened to its best coverage."""
+        n, cores, out, taken = len(self.templates[k][1]), Spans(), [], Spans()
+        for m, first, last in sorted(windows, key=lambda x: x[1]):
+            if m == n == last - first + 1:
+                cores.add(first, last)
+        for _, first, last in sorted(windows, key=lambda x: (x[2], -x[1])):
+            cores.add(first, last)
+        done = set()
+        for m, first, last in sorted(windows, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            met = cores.meets(first, last)
+            i = met.start
+            if len(met) == 1 and i not in done and first <= cores.firsts[i] and cores.lasts[i] <= last and taken.add(first, last):
+                done.add(i)
+                out.append((m, first, last))
+        return out
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end) of each place with enough coverage, best first; places don't overlap.
 
-        At one place the greatest coverage counts, then the longer template, then the name.
+        At one place the greatest coverage counts, then the longer template, then the name. No window beside all
+        places has enough coverage.
         """
         tokens, spans = words(text)
         at: dict[str, list[int]] = {}
         for j, w in enumerate(tokens):
-            if w in self.words:
+            if w in self.rare_words:
                 at.setdefault(w, []).append(j)
-        found = []
-        for (name, t), places in zip(self.templates, self.seeds):
-            done = -1
-            for j in sorted({j for i in places for j in at.get(t[i], [])}):
-                if j <= done:
-                    continue
-                lo, hi = max(0, j - len(t) - 2), min(len(tokens), j + len(t) + 3)
-                pairs = patience(t, tokens[lo:hi])
-                if pairs and len(pairs) / len(t) >= self.least:
-                    first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                    found.append((len(pairs) / len(t), len(t), name, first, last))
-                    done = last
-        out: list[tuple[str, float, int, int]] = []
-        taken: list[tuple[int, int]] = []
-        for cov, _, name, first, last in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
-            if all(last < f or first > g for f, g in taken):
-                taken.append((first, last))
-                out.append((name, cov, spans[first][0], spans[last][1]))
-        return out
+        windows = {}
+        for k, (rare, most) in enumerate(self.rare):
+            rare_at = sorted(j for w in rare for j in at.get(w, ()))
+            if len(rare_at) >= most:
+                windows[k] = self.windows(k, tokens, rare_at)
+        found, taken = [], Spans()
+        while any(windows.values()):
+            new = [(-m / len(self.templates[k][1]), -len(self.templates[k][1]), self.templates[k][0], first, last) for k, w in windows.items() for m, first, last in self.places(k, w)]
+            found += [x for x in sorted(new) if taken.add(*x[3:])]
+            windows = {k: [x for x in w if not taken.meets(*x[1:])] for k, w in windows.items()}
+        return [(name, -cov, spans[first][0], spans[last][1]) for cov, _, name, first, last in sorted(found)]
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", least: float = 0.8) -> DataFrame:

@@ -175,3 +175,58 @@ def test_license_texts_have_seeds():
             text = " ".join(["q0 q1", *(("zz" if r.random() < 0.5 else "") if i in out else w for i, w in enumerate(t)), "q2"])
             assert set(seeds) - out, name
             assert pa.compute.match_substring_regex(pa.array([text]), scanner.pattern, ignore_case=True)[0].as_py()
+
+
+@pytest.mark.parametrize("k", [3, 4, 1000])
+def test_licenses_in_a_row(k):
+    scanner = S.Scanner()
+    for name, texts in S.TEMPLATES.items():
+        for t in texts:
+            for copy in (t, " ".join(w for i, w in enumerate(t.split()) if i != 1)):
+                copies = min(k, 12) if len(t) > 200 and k > 4 else k
+                text = "some words before " + " ".join([copy] * copies) + " and after"
+                got = sorted(x[2:] for x in scanner.scan(text) if x[0] == name)
+                cut = copy.rstrip(".;,")
+                assert [(x, y) for x, y in got] == [(18 + i * (len(copy) + 1), 18 + i * (len(copy) + 1) + len(cut)) for i in range(copies)], (copy, got[:3])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_licenses_by_patience_on_every_window(seed):
+    """Every window that patience alignment accepts meets a place, whole copies are found as such, and no place is made up."""
+    r = random.Random(seed)
+    templates = {"A": ("a b a c d",), "B": ("b c d e f b a",), "C": ("the license of a b c the d e the f g",)}
+    scanner = S.Scanner(templates)
+    tokens: list[str] = []
+    while len(tokens) < 60:
+        t = S.words(r.choice(list(templates.values()))[0])[0]
+        tokens += [w for w in t if r.random() < 0.9] * r.choice((1, 1, 3)) + r.choices("abcdefgxyz", k=r.choice((0, 0, 1, 5)))
+    ends = [0]
+    for w in tokens:
+        ends.append(ends[-1] + len(w) + 1)
+    got = scanner.scan(" ".join(tokens))
+    whole = False
+    for _, t in scanner.templates:
+        for s in range(len(tokens)):
+            for e in range(s + 1, min(len(tokens), s + 2 * len(t) + 5) + 1):
+                whole |= tokens[s:e] == t
+                if len(S.patience(t, tokens[s:e])) / len(t) >= 0.8:
+                    assert any(x < ends[e] and y > ends[s] for _, _, x, y in got), (t, s, e)
+    assert not whole or got[0][1] == 1
+    for name, cov, x, y in got:
+        t, part = S.words(templates[name][0])[0], " ".join(tokens)[x:y].split()
+        rows = [[0] * (len(part) + 1)]
+        for w in t:
+            rows.append([0])
+            for j, v in enumerate(part, 1):
+                rows[-1].append(max(rows[-1][-1], rows[-2][j], rows[-2][j - 1] + (w == v)))
+        assert cov == rows[-1][-1] / len(t) >= 0.8 and len(part) <= 2 * len(t) + 5
+    assert all(a[3] <= b[2] or b[3] <= a[2] for i, a in enumerate(got) for b in got[:i])
+
+
+def test_any_words_of_a_license_may_miss():
+    scanner, r = S.Scanner(), random.Random(7)
+    for (name, t), need in zip(scanner.templates, scanner.need):
+        for _ in range(30):
+            out = set(r.sample(range(len(t)), len(t) - need))
+            text = " ".join(["q0 q1", *(("zz" if r.random() < 0.5 else "") if i in out else w for i, w in enumerate(t)), "q2"])
+            assert any(c >= 0.8 for _, c, _, _ in scanner.scan(text)), (name, out)

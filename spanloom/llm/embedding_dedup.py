@@ -56,13 +56,12 @@ class Grid:
         return np.array([[i * width + j for i, j in traverse(d1[r], d2[r], visits)] for r in range(len(x))], np.int32).reshape(len(x), visits)
 
     def calibrate(self, x: np.ndarray, threshold: float, recall: float, most: int, seed: int = 1) -> None:
-        """Visits enough that of simulated partners, spread evenly over the cosines from the threshold to 1, this share is met."""
+        """Visits enough that of simulated partners at the threshold cosine, the hardest to meet, this share is met."""
         rng = np.random.default_rng(seed)
         noise = rng.standard_normal(x.shape)
         noise -= np.einsum("ij,ij->i", noise, x)[:, None] * x
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-        cos = threshold + (1 - threshold) * rng.random((len(x), 1))
-        y = cos * x + np.sqrt(1 - cos**2) * noise
+        y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * noise
         a, b = self.cells(x, most), self.cells(y, most)
         first = np.full(len(x), a.shape[1])
         for p, q in ((a, b), (b, a)):
@@ -136,7 +135,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
     component, kept. Repeated rows count as rows of their own that link with each other. An empty table
     gives an empty result; other columns are ignored.
 
-    Index: codebooks and the number of visits come from at most ``most`` sampled vectors; every row is indexed.
+    Index: codebooks and the number of visits come from at most ``most`` sampled distinct vectors, copies counting once;
+    every row is indexed.
     """
     spark = table.sparkSession
     dim = dimension(table, vec_col)
@@ -147,7 +147,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, id_col: str = "vec
     classes = vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w"))
     classes = materialise(classes, "classes")
     codewords = codewords or min(256, max(4, int((classes.count() / 512) ** 0.5)))  # cells of about 512
-    x = sample(vectors, most)
+    x = sample(classes, most)
     if not len(x):
         x = np.eye(1, dim)
     grid = Grid(x, min(codewords, len(x)))

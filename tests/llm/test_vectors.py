@@ -122,3 +122,19 @@ def test_multi_sequence_order():
     cells = D.traverse(a, b, 30)
     cost = [a[i] + b[j] for i, j in cells]
     assert cost == sorted(cost) and np.allclose(cost, np.sort(np.add.outer(a, b).ravel())[:30])
+
+
+def test_dedup_recall_beside_copies(spark):
+    """Pairs just above the threshold are met as often where half of all rows are copies of one vector."""
+    r = np.random.default_rng(4)
+    a = r.standard_normal((400, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = r.standard_normal((400, 32))
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, 0.902 * a + np.sqrt(1 - 0.902**2) * b])
+    copies = [(1000 + i, [1.0] + [0.0] * 31) for i in range(800)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + copies
+    got = {q["vec_id"]: q["n_links"] for q in D.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), codewords=16).where("vec_id < 1000").collect()}
+    n, _ = brute_links(x)
+    assert sum(got.values()) >= 0.96 * n.sum()

@@ -31,6 +31,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 LINES = 2000
 ROLL = 1 << 30
 LOOKUPS = 5000  # in a task
+PIECE = 200  # index lines that one task reads the records of
+OPEN_FILES = 64
 BROADCAST_ROWS = 100_000  # of 16 bytes each
 
 
@@ -231,26 +233,52 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return {"archives": folder, "index": index, "lines": lines, "parts": parts, "revisits": revisits}
 
 
-def _read_back(folder: str):
+def _pieces(index: str):
+    """The lines of the index as (part, block offset and size, from line, to line), a few hundred lines each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _open(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name in batch.column("name").to_pylist():
                 rows = []
-                with store.open_input_stream(f"{base}/{name}", compression=None) as f:
-                    for raw in members(f):
-                        head, payload = parse(raw)
+                for x in CaptureIndex._read(f"{index}/{name}.directory").decode().split("\n"):
+                    _, at, size = x.rsplit(" ", 2)
+                    n = zlib.decompress(CaptureIndex._read(f"{index}/{name}.blocks", int(at), int(size))).count(b"\n") + 1
+                    rows += [(name, int(at), int(size), i, min(i + PIECE, n)) for i in range(0, n, PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), *[pa.int64()] * 4))], ["part", "at", "size", "lo", "hi"])
+
+    return run
+
+
+def _read_back(index: str, folder: str):
+    """Reads the record of each index line by its byte range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _open(folder)
+        opened: dict[str, pa.NativeFile] = {}
+        try:
+            for batch in batches:
+                for part, at, size, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "size", "lo", "hi"))):
+                    rows = []
+                    lines = zlib.decompress(CaptureIndex._read(f"{index}/{part}.blocks", at, size)).decode().split("\n")[lo:hi]
+                    for page, name, start, n in sorted((x.split(" ")[1:] for x in lines), key=lambda x: (x[1], int(x[2]))):
+                        if name not in opened:
+                            if len(opened) == OPEN_FILES:
+                                opened.pop(next(iter(opened))).close()
+                            opened[name] = store.open_input_file(f"{base}/{name}")
+                        opened[name].seek(int(start))
+                        head, payload = parse(zlib.decompress(opened[name].read(int(n)), 31))
+                        if head["warc-record-id"] != f"<urn:page:{page}>":
+                            raise ValueError(f"{head['warc-record-id']} at {start} in {name}, where the index has {page or 'no id'}")
                         revisit = head["warc-type"] == "revisit"
                         digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
                         if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"digest of {head['warc-record-id']} in {name}")
                         number = lambda h: int(x) if (x := head[h].removeprefix("<urn:page:").removesuffix(">")) else None  # noqa: B023,E731
                         rows.append((number("warc-record-id"), None if revisit else len(payload), digest, head["warc-type"], number("warc-refers-to") if revisit else None))
-                        if len(rows) == 4096:
-                            yield _page_rows(rows)
-                            rows = []
-                if rows:
                     yield _page_rows(rows)
+        finally:
+            for f in opened.values():
+                f.close()
 
     return run
 
@@ -260,15 +288,20 @@ def _page_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(written: dict) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of each record, read from the archives.
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of each record, read through the index.
 
+    An index with fewer or more lines than records were written, or whose line leads to another record, is an error.
     A revisit's payload size comes from the record it refers to, found through the capture index.
     """
     lines: DataFrame = written["lines"]
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    files = lines.select("file").distinct()
-    # a task for each archive: file names are too few bytes for the planner to spread by itself
-    back = files.repartition(max(1, files.count())).mapInArrow(_read_back(written["archives"]), schema)
+    pieces = materialise(written["parts"].select("name").mapInArrow(_pieces(written["index"]), "part string, at bigint, size bigint, lo bigint, hi bigint"), "pieces")
+    listed, records = pieces.agg(F.sum(F.col("hi") - F.col("lo"))).first()[0] or 0, lines.count()
+    if listed != records:
+        raise ValueError(f"the index lists {listed} of {records} records")
+    # as many tasks as archives: pieces are too few bytes for the planner to spread by itself
+    tasks = max(1, lines.select("file").distinct().count())
+    back = pieces.repartition(tasks).mapInArrow(_read_back(written["index"], written["archives"]), schema)
     targets = written["revisits"].select("refers_to").distinct()
     keys = lines.where("not revisit").join(targets, lines["page_id"] == targets["refers_to"]).select("key", "page_id").distinct()
     spark = lines.sparkSession

@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import io
+import zlib
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import warc as W
@@ -66,3 +68,31 @@ def test_query(spark):
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     want = sorted(con.sql(f"select {', '.join(cols)} from ({ORACLES['op6_warc']})").fetchall(), key=str)
     assert sorted(map(tuple, QUERIES["op6_warc"](spark, sf).select(cols).collect()), key=str) == want
+
+
+def test_reading_goes_through_the_index(spark, monkeypatch):
+    monkeypatch.setattr(W, "LINES", 3)
+    written = W.write_archives(pages(spark).coalesce(1))
+    folder = written["index"].removeprefix("file:")
+    name = written["parts"].first()["name"]
+    key, at, size = open(f"{folder}/{name}.directory").read().split("\n")[0].rsplit(" ", 2)
+    lines = zlib.decompress(open(f"{folder}/{name}.blocks", "rb").read()[int(at) : int(at) + int(size)]).decode().split("\n")
+
+    def put(lines):
+        """Makes these the only block of the part."""
+        block = zlib.compress("\n".join(lines).encode())
+        open(f"{folder}/{name}.blocks", "wb").write(block)
+        open(f"{folder}/{name}.directory", "w").write(f"{key} 0 {len(block)}")
+
+    put(lines[1:])
+    with pytest.raises(ValueError, match="the index lists"):
+        W.read_archives(written)
+    everything = written["lines"].select("key", "page_id", "file", "at", "size").collect()
+    right = [f"{W.clean(r['key']).replace(' ', '%20')} {'' if r['page_id'] is None else r['page_id']} {r['file']} {r['at']} {r['size']}" for r in everything]
+    wrong = right[:-2] + [right[-2].rsplit(" ", 2)[0] + " " + " ".join(right[-1].rsplit(" ", 2)[1:]), right[-1]]
+    assert written["parts"].count() == 1
+    put(wrong)
+    with pytest.raises(Exception, match="where the index has"):
+        W.read_archives(written).collect()
+    put(right)
+    assert W.read_archives(written).count() == len(everything)

@@ -205,14 +205,23 @@ class CaptureIndex:
                 return parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
         return None
 
+    def responses(self, key: str, page_id: int) -> Iterator[tuple[str, int]]:
+        """(digest, payload size) of each response of a page under a key."""
+        for page, file, at, size in self.captures(key):
+            if page == str(page_id):
+                head, payload = parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
+                if head["warc-type"] == "response":
+                    yield base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(), len(payload)
+
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> dict:
     """Writes a record for each row, and the index. Returns folders, the table of index lines and the index parts.
 
     Of rows with equal payloads of at least ``least`` bytes, the one with the largest id is a response and the
     others revisit it; all others are responses. Null html is an empty payload, null urls have no target
-    header and the empty key, rows with a null id get an id-less record (they can only revisit). Rows that
-    repeat the response's id are responses too. An empty table gives no files.
+    header and the empty key, rows with a null id get an id-less response. Each row goes by its own payload, also
+    where rows of different payloads repeat an id; those that repeat the response's id are responses too.
+    An empty table gives no files.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -221,12 +230,13 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     light = pages.select("page_id", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
     light = materialise(light, "digests")
     chosen = light.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = light.join(chosen, ["sha", "n"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").distinct()
+    revisits = light.join(chosen, ["sha", "n"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "sha", "n", "refers_to").distinct()
     revisits = materialise(revisits, "revisits")
     # a short list of revisits spares the pages a shuffle; a long one is joined by sorting
     known = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     folder, index = fresh_path(spark, "warc"), fresh_path(spark, "cdx")
-    rows = pages.where("page_id is not null").join(known, "page_id", "left").unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("bigint")))
+    own = pages.where("page_id is not null").withColumns({"sha": F.sha1(body.cast("binary")), "n": F.octet_length(body)})
+    rows = own.join(known, ["page_id", "sha", "n"], "left").select("page_id", "url", "html", "refers_to").unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("bigint")))
     lines = materialise(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder), "key string, page_id bigint, file string, at bigint, size bigint, revisit boolean"), "captures")
     ordered = lines.select("key", "page_id", "file", "at", "size").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
     parts = materialise(ordered.mapInArrow(_write_index(index), "first string, name string"), "parts")
@@ -311,11 +321,11 @@ def read_archives(written: dict) -> DataFrame:
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(folder, parts.value, archives)
         for batch in batches:
-            found = [(p, len(index.read(k, p)[1])) for k, p in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist())]
+            found = [(p, *x) for k, p in zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist()) for x in index.responses(k, p)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["target", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.int64()))], ["target", "digest", "bytes"])
 
     ordered = keys.repartitionByRange(max(1, -(-targets.count() // LOOKUPS)), "key").sortWithinPartitions("key")
-    known = ordered.mapInArrow(sizes, "target bigint, bytes bigint").groupBy("target").agg(F.max("bytes").alias("bytes"))
-    out = back.join(known, back["refers_to"] == known["target"], "left")
+    known = ordered.mapInArrow(sizes, "target bigint, digest string, bytes bigint").groupBy("target", "digest").agg(F.max("bytes").alias("bytes"))
+    out = back.join(known, (back["refers_to"] == known["target"]) & (back["payload_digest"] == known["digest"]), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

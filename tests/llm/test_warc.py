@@ -96,3 +96,15 @@ def test_reading_goes_through_the_index(spark, monkeypatch):
         W.read_archives(written).collect()
     put(right)
     assert W.read_archives(written).count() == len(everything)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_repeated_ids_with_different_payloads(spark, monkeypatch, most):
+    """Id 3 revisits 9 by one payload only, and 9 has another payload, of another size, besides."""
+    monkeypatch.setattr(W, "BROADCAST_ROWS", most)
+    a, b, c = "a" * 1500, "b" * 2000, "c" * 3000
+    rows = [(3, "http://a.com/", a), (3, "http://a.com/", b), (9, "http://a.com/", a), (9, "http://a.com/", c)]
+    written = W.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = sorted(map(tuple, W.read_archives(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    want = [(i, len(x), hashlib.sha1(x.encode()).hexdigest(), "revisit" if r else "response", r) for i, x, r in ((3, a, 9), (3, b, None), (9, a, None), (9, c, None))]
+    assert got == sorted(want, key=str)

@@ -72,9 +72,15 @@ def clear_annotations(docs: DataFrame, relations: bool = True) -> DataFrame:
     return docs.withColumn("passage", F.transform("passage", bare))
 
 
+MOST_RULES = 10_000
+
+
 def rule_array(rules: DataFrame) -> list[dict]:
-    """A rule table, in ``rule_order``, as rows for the folds below (rule files are small by nature: bounded by ``limit``)."""
-    return [r.asDict() for r in rules.orderBy("rule_order").limit(10_000).collect()]
+    """A rule table, in ``rule_order``, as rows for the folds below. Rule files are small by nature: more than ``MOST_RULES`` are an error."""
+    rows = rules.orderBy("rule_order").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return [r.asDict() for r in rows]
 
 
 def _matches(rule: dict, mention: Column, kind: Column, identifier: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .spans import interval_join
 
 
@@ -128,17 +129,25 @@ def token_overlap(a: DataFrame, b: DataFrame, key: str = "passage_id") -> DataFr
     return one(a, b, "x").join(F.broadcast(one(b, a, "y"))).select(((F.col("x") + F.col("y")) / 2).alias("overlap"))
 
 
-def augmented_macro(ref: DataFrame, pred: DataFrame, parents: DataFrame, depth: int = 32, doc: str = "doc_id") -> DataFrame:
+def augmented_macro(ref: DataFrame, pred: DataFrame, parents: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Macro averages over documents of scores on id sets that are closed under ancestors.
 
-    ``parents`` is (id, parent). The closure goes up level by level, each level one join, until nothing is new.
+    ``parents`` is (id, parent). Each round joins the closure with itself, which doubles the levels it reaches, and
+    writes it to the shared folder; the rounds end when nothing is new, however deep the ids lie, cycles included.
     """
-    frontier = closure = parents.select("id", F.col("parent").alias("anc")).distinct()
-    for _ in range(depth):
-        frontier = frontier.join(parents.select(F.col("id").alias("anc"), F.col("parent").alias("up")), "anc").select("id", F.col("up").alias("anc")).distinct().join(closure, ["id", "anc"], "left_anti")
-        if frontier.isEmpty():
-            break
-        closure = closure.unionByName(frontier)
+    spark = parents.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, int]:
+        path = scratch(spark, "closure")
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+        return out, out.count()
+
+    (closure, n), before = kept(parents.select("id", F.col("parent").alias("anc")).distinct()), -1
+    while n != before:
+        before = n
+        up = closure.select(F.col("id").alias("anc"), F.col("anc").alias("up"))
+        closure, n = kept(closure.unionByName(closure.join(up, "anc").select("id", F.col("up").alias("anc"))).distinct())
     grow = lambda d: d.select(doc, "id").unionByName(d.join(closure, "id").select(doc, F.col("anc").alias("id"))).distinct()
     m = matched(grow(ref), grow(pred), [doc, "id"])
     per = m.groupBy(doc).agg(F.sum(F.col("in_ref") * F.col("in_pred")).alias("tp"), F.sum((1 - F.col("in_ref")) * F.col("in_pred")).alias("fp"), F.sum(F.col("in_ref") * (1 - F.col("in_pred"))).alias("fn"))

@@ -176,3 +176,18 @@ def test_retries():
 
     assert linking.with_retries(flaky, attempts=5)(4) == 8 and len(calls) == 3
     assert linking.with_retries(lambda x: 1 / 0, attempts=2, fallback="no")(1) == "no"
+
+
+def test_rule_table_is_never_cut(spark):
+    rules = spark.range(10_001).selectExpr("id AS rule_order", "string(id) AS mention")
+    with pytest.raises(ValueError, match="more than 10000 rules"):
+        filters.rule_array(rules)
+    assert [r["rule_order"] for r in filters.rule_array(rules.where("rule_order > 0"))] == list(range(1, 10_001))
+
+
+def test_ancestors_at_any_depth(spark):
+    parents = spark.range(40).selectExpr("id", "id + 1 AS parent").unionByName(spark.createDataFrame([(90, 91), (91, 90)], "id bigint, parent bigint"))
+    ref, pred = (spark.createDataFrame([(1, i)], "doc_id int, id bigint") for i in (0, 40))
+    got = scoring.augmented_macro(ref, pred, parents).first()  # 0 has the ancestors 1 to 40
+    assert got["precision"] == 1 and got["recall"] == pytest.approx(1 / 41)
+    assert scoring.augmented_macro(ref, pred.withColumn("id", F.lit(90)), parents).first()["f1"] == 0

@@ -1,4 +1,4 @@
-"""Streaming forms: new annotation batches from a folder, windowed counts with late data, first-seen keys, incremental linking cache."""
+"""Streaming forms: new annotation batches from a folder, windowed counts with late data, first-seen keys."""
 
 from __future__ import annotations
 

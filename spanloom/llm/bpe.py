@@ -288,14 +288,14 @@ def digest_documents(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 def _run(docs: DataFrame, tokenizer: str, text_col: str, more: str, out) -> DataFrame:
     small_batches(docs.sparkSession)
     names = [x.split()[0] for x in more.split(", ")]
-    docs = docs.drop(*names)
-    rest = [f for f in docs.schema.fields if f.name != text_col]
-    docs = docs.select(F.col(text_col).cast("string").alias("__text"), *(F.col(f"`{f.name}`") for f in rest))
+    rest = [f for f in docs.schema.fields if f.name not in (text_col, *names)]
+    # the text comes first and is told by its place, so no column's name is reserved
+    docs = docs.select(F.col(f"`{text_col}`").cast("string"), *(F.col(f"`{f.name}`") for f in rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         for batch in batches:
-            for piece in slices(batch, "__text"):
+            for piece in slices(batch, 0):
                 yield pa.RecordBatch.from_arrays([*piece.columns[1:], *out(e, e(piece.column(0)))], [*piece.schema.names[1:], *names])
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), more]))

@@ -8,28 +8,34 @@ from __future__ import annotations
 
 import atexit
 import os
+import pickle
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and put into the session.
+    Only where that is unset in local mode (tests) a temporary folder is made and put into the session; on a
+    cluster an unset folder is an error, as no folder of one machine is seen by the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -40,26 +46,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._spanloom_path = path
+    return table
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table of ``materialise`` that nothing needs any more."""
-    spark = df.sparkSession
-    for f in {os.path.dirname(x) for x in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes the files of tables of ``materialise`` that nothing needs any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._spanloom_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of a bounded number of rows and bytes, so that Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches of a bounded number of rows and bytes, so that Python workers stay small.
+
+    The plans are lazy, so the settings stay in the session; what the user has set is left alone. Results don't
+    depend on them (``slices`` bounds what a kernel sees), only memory does.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,12 +99,12 @@ def flat(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8, last - first, first) if last > first else np.empty(0, np.uint8)), offsets - first
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch by bytes of one column; a row that is longer alone comes alone."""
+def slices(batch: pa.RecordBatch, column: str | int = "text", most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch by bytes of one column and by rows; a row that is longer than ``most`` alone comes alone."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     at, total = 0, 0
     for i, x in enumerate(size):
-        if i > at and total + x > most:
+        if i > at and (total + x > most or i - at == rows):
             yield batch.slice(at, i - at)
             at, total = i, 0
         total += int(x)
@@ -110,36 +122,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-BASE = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = []
+#: The first n bytes of a little-endian word of eight.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+LONG = 64
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        with np.errstate(over="ignore"):
-            out = []
-            for base in (BASE, pow(BASE, -1, 1 << 64)):
-                x = np.full(size, base, U64)
-                x[0] = 1
-                out.append(np.cumprod(x, dtype=U64))
-        _powers[:] = out
-    up, down = _powers
-    if len(up) > 8 * SLICE_BYTES:
-        _powers.clear()  # one very long document must not keep its tables
-    return up[:n], down[:n]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one integer; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
 
 
 def ranges_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of many byte ranges of one buffer by differences of one running polynomial sum."""
-    if not len(starts):
+    """64-bit hashes of many byte ranges of one buffer, eight bytes of all ranges at a time; long ranges by xxHash."""
+    n = ends - starts
+    if not len(n):
         return np.empty(0, U64)
-    up, down = powers(len(data) + 1)
-    run = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U64))
+    at = _eights(data)
+    h = mix(mix(n.astype(U64) + U64(0x9E3779B97F4A7C15)) ^ (at[starts] & MASKS[np.minimum(n, 8)]))
+    live, k = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        left = n[live] - k
+        h[live] = mix(h[live] * U64(0x9FB21C651E98DF25) ^ (at[starts[live] + k] & MASKS[np.minimum(left, 8)]))
+        live, k = live[left > 8], k + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def ranges_equal(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether the k-th range of ``a`` has the bytes of the k-th range of ``b``."""
+    n = a_ends - a_starts
+    same = n == b_ends - b_starts
+    x, y = _eights(a), _eights(b)
+    live, k = np.flatnonzero(same & (n > 0) & (n <= LONG)), 0
+    while len(live):
+        left = n[live] - k
+        ok = ((x[a_starts[live] + k] ^ y[b_starts[live] + k]) & MASKS[np.minimum(left, 8)]) == 0
+        same[live[~ok]] = False
+        live, k = live[ok & (left > 8)], k + 8
+    for i in np.flatnonzero(same & (n > LONG)).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_ends[i]], b[b_starts[i] : b_ends[i]])
+    return same
 
 
 def runs(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,13 +183,24 @@ def runs(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str = "dst") -> DataFrame:
+def with_least(edges: DataFrame, salts: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least of u and all its v.
+
+    A u with very many v is dealt over ``salts`` tasks, both where its v are counted and where m comes back to them.
+    """
+    edges = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)))
+    part = edges.groupBy("u", "s").agg(F.min("v").alias("m"))
+    part = part.withColumn("m", F.least("u", F.min("m").over(Window.partitionBy("u"))))  # at most ``salts`` rows of a u
+    return edges.join(part, ["u", "s"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str = "dst", salts: int = 128) -> DataFrame:
     """Connected components of an edge table: ``(id, component_id)`` with the smallest id of each component.
 
     Alternates large-star and small-star contraction (public: Kiveris et al., "Connected Components in
-    MapReduce and Beyond"): each round is two shuffles, the number of edges never grows, and the rounds
-    are logarithmic in practice. Each round is a table in the shared folder. Nodes without edges don't
-    appear. Self-loops and null ends are ignored; empty input gives an empty table.
+    MapReduce and Beyond"): the number of edges never grows, rounds are logarithmic in practice, and no key
+    meets more than a ``salts``-th of a component's edges in one task. Each round is a table in the shared folder. Nodes
+    without edges don't appear. Self-loops and null ends are ignored; empty input gives an empty table.
     """
     a, b = F.col(src), F.col(dst)
     cur = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -172,14 +208,12 @@ def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str =
     while True:
         # large-star: every larger neighbour of u gets the least of u's neighbourhood
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = with_least(both, salts).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: the smaller neighbours of u, and u, get the least of them
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lows, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
+        small = with_least(large, salts).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
         new = materialise(small, name)
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(cur)
+        drop_tables(cur)
         cur = new
         if now == before or not now[0]:  # the same set of edges again: every node points at its root
             break
@@ -189,6 +223,16 @@ def components(edges: DataFrame, name: str = "cc", src: str = "src", dst: str =
     return out.unionByName(roots)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores in front until no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def with_columns(df: DataFrame, more: str) -> str:
     """The schema of ``df`` as DDL with more columns."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])

@@ -17,8 +17,11 @@ intersected (with the size filter) before anything is verified.
   links join is contracted. Lists that still hold several components meet under their leader, in chunks
   of bounded size: chunks are verified against chunks by matrix products inside a task, chunks of one
   component not at all, and only links of a spanning forest come out. So no group is expanded into pairs.
+* No key gathers a third of all rows in one task: equal sets meet within a block, then within a 256th of all
+  blocks, then 256 rows at most; lists and leaders are dealt over as many tasks as their counts ask for, which both
+  sides of a join know beforehand.
 
-Tokens are 64-bit hashes of the word sequences, of which 48 bits and the bucket are kept; J is exact on those.
+Tokens are 64-bit hashes of the word sequences; J is exact on those.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, flat, materialise, mix, ranges_hash, runs, slices, small_batches
+from .common import U64, components, drop_tables, flat, materialise, mix, ranges_hash, runs, slices, small_batches
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -39,7 +43,11 @@ IS_WORD = np.ones(256, bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
 STEPS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 ORDERS = 3
-CHUNK = 128
+CHUNK, CHUNK_TOKENS = 128, 400_000
+#: Rows of a key in one task where the key's rows are counted beforehand.
+SHARE = 2048
+#: Parts in which equal sets of different blocks meet first.
+PARTS = 256
 #: In place of a document's position in its block: several documents of the block hold the token.
 SEVERAL = 0xFFFF
 
@@ -76,11 +84,10 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, text_col, 4 << 20):
+            for piece in slices(batch, text_col, 4 << 20, SEVERAL):
                 sets = shingle_sets(*flat(piece.column(text_col)), width)
-                ids = piece.column(id_col).to_numpy(zero_copy_only=False)
-                null = np.array([not x.is_valid for x in piece.column(id_col)]) if piece.column(id_col).null_count else np.zeros(len(sets), bool)
-                ids = np.where(null, 0, ids).astype(np.int64)
+                ids = pc.fill_null(piece.column(id_col), 0).to_numpy(zero_copy_only=False)  # filled here: NumPy would make nulls floats
+                null = piece.column(id_col).is_null().to_numpy(zero_copy_only=False)
                 block = part << 32 | serial
                 serial += 1
                 size = np.array([len(s) for s in sets], np.int64)
@@ -92,8 +99,10 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
                 lead[1:] = (s[1:] != s[:-1]).any(1)
                 sender = np.zeros(len(order), bool)
                 sender[order[lead]] = True
+                rep = np.empty(len(order), np.int64)
+                rep[order] = ids[order[lead]][np.cumsum(lead) - 1]
                 sender &= ~null & (size > 0)
-                meta = np.rec.fromarrays([ids, size, sig[:, 0].view(np.int64), sig[:, 1].view(np.int64), null], names="id,n,a,b,null")
+                meta = np.rec.fromarrays([ids, size, sig[:, 0].view(np.int64), sig[:, 1].view(np.int64), rep, null], names="id,n,a,b,rep,null")
                 who = np.flatnonzero(sender)
                 rows, local = [], (b"", b"", b"")
                 if len(who):
@@ -105,30 +114,25 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
                     held = np.diff(edge)
                     among = np.repeat(held > 1, held)
                     tok, several = tok[edge[:-1]], held > 1
-                    local = (kept_bits(tok[several], bits).tobytes(), idx[among].tobytes(), held[several].astype(np.uint16).tobytes())
+                    local = (tok[several].tobytes(), idx[among].tobytes(), held[several].astype(np.uint16).tobytes())
                     idx = np.where(several, np.uint16(SEVERAL), idx[edge[:-1]])
                     cut = np.searchsorted(tok >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
-                    rest = (tok << U64(bits)) >> U64(16)  # 48 bits
+                    rest = tok & U64((1 << 64 - bits) - 1)
                     for b in np.flatnonzero(np.diff(cut)):
                         x = rest[cut[b] : cut[b + 1]]
                         gap = np.diff((x >> U64(32)).astype(np.int64), prepend=0)
-                        wide = gap.max() > 255
+                        narrow = np.min_scalar_type(gap.max())
                         span = slice(cut[b], cut[b + 1])
                         many = held[span][several[span]].astype(np.uint16).tobytes()
-                        rows.append((int(b), block, idx[span].tobytes(), gap.astype(np.uint16 if wide else np.uint8).tobytes(), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), many))
+                        rows.append((int(b), block, idx[span].tobytes(), gap.astype(narrow).tobytes(), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), many))
                 rows.append((-1 - block % (1 << bits), block, meta.astype(META).tobytes(), *local))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "block", "idx", "hi", "lo", "many"])
 
     return run
 
 
-def kept_bits(tok: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket and the 48 bits below it, the same for tokens that travelled and those that stayed."""
-    drop = U64(max(0, 16 - bits))
-    return tok >> drop << drop
-
-
-META = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<i8"), ("b", "<i8"), ("null", "?")])
+META = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<i8"), ("b", "<i8"), ("rep", "<i8"), ("null", "?")])
+WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
 def _count(bits: int):
@@ -145,8 +149,8 @@ def _count(bits: int):
             for a, h, low, many in zip(*(table.column(c) for c in ("idx", "hi", "lo", "many"))):
                 idx, lo = np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(low.as_buffer(), np.uint32)
                 hb = h.as_buffer()
-                hi = np.cumsum(np.frombuffer(hb, np.uint8 if hb.size == len(lo) else np.uint16), dtype=U64)
-                toks.append(U64(bucket) << U64(64 - bits) | (hi << U64(32) | lo) << U64(16) >> U64(bits))
+                hi = np.cumsum(np.frombuffer(hb, WIDTHS[hb.size // len(lo)]), dtype=U64)
+                toks.append(U64(bucket) << U64(64 - bits) | hi << U64(32) | lo)
                 idxs.append(idx)
                 w = np.ones(len(idx), np.int64)
                 w[idx == SEVERAL] = np.frombuffer(many.as_buffer(), np.uint16)
@@ -178,7 +182,7 @@ def _unpack_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for m in batch.column("idx"):
             r = np.frombuffer(m.as_buffer(), META)
-            yield pa.RecordBatch.from_arrays([pa.array(r["id"], mask=r["null"]), pa.array(r["n"]), pa.array(r["a"]), pa.array(r["b"])], ["id", "n", "sig_a", "sig_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(r["id"], mask=r["null"]), pa.array(r["n"]), pa.array(r["a"]), pa.array(r["b"]), pa.array(r["rep"], mask=r["null"] | (r["n"] == 0))], ["id", "n", "a", "b", "rep"])
 
 
 def ranked(tok: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
@@ -188,7 +192,7 @@ def ranked(tok: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
 
 
 def _prefixes(threshold: int):
-    """Documents whose prefix holds shared tokens: (id, n, tok, p0, p1, ...), blobs of sorted hashes."""
+    """Documents whose prefix holds shared tokens: (id, n, level, tok, p0, p1, ...), blobs of sorted hashes; ``level`` goes with p0."""
 
     def run(table: pa.Table) -> pa.Table:
         meta, idxs, toks, levels = None, [], [], []
@@ -217,18 +221,25 @@ def _prefixes(threshold: int):
                 take = n - -(-threshold * n // 100) + 1 - (n - m)
                 if take > 0:
                     t, v = tok[cut[i] : cut[i + 1]], level[cut[i] : cut[i + 1]]
-                    rows.append((int(meta["id"][i]), n, t.tobytes(), *(np.sort(t[ranked(t, v, k)[:take]]).tobytes() for k in range(ORDERS))))
-        cols = list(zip(*rows)) or [[]] * (3 + ORDERS)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * (1 + ORDERS))], ["id", "n", "tok", *(f"p{k}" for k in range(ORDERS))])
+                    first = np.sort(ranked(t, v, 0)[:take])  # t is sorted
+                    rows.append((int(meta["id"][i]), n, v[first].tobytes(), t.tobytes(), t[first].tobytes(), *(np.sort(t[ranked(t, v, k)[:take]]).tobytes() for k in range(1, ORDERS))))
+        cols = list(zip(*rows)) or [[]] * (4 + ORDERS)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * (2 + ORDERS))], ["id", "n", "level", "tok", *(f"p{k}" for k in range(ORDERS))])
 
     return run
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, id, n, s): the prefix tokens of each document; s is in how many parts the list of t is dealt, by how many hold it."""
     for batch in batches:
-        for i, n, p in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("p0")):
+        cols = [[], [], [], []]
+        for i, n, v, p in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("level"), batch.column("p0")):
             t = np.frombuffer(p.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), i)), pa.array(np.full(len(t), n))], ["t", "id", "n"])
+            parts = np.ceil(np.exp2(np.frombuffer(v.as_buffer(), np.uint8) / 8) / SHARE).astype(np.int64)
+            for c, x in zip(cols, (t, np.full(len(t), i), np.full(len(t), n), parts)):
+                c.append(x)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["t", "id", "n", "s"])
 
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -315,9 +326,60 @@ def _verify_blocks(threshold: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    side = lambda s: sets.select(*(F.col(c).alias({"id": s}.get(c, f"{c}_{s}")) for c in sets.columns))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(threshold), "a bigint, b bigint")
+def part_of(col: str, parts: str) -> Column:
+    """The part, of as many as ``parts`` says, in which a row meets what its hot key brings."""
+    return F.pmod(F.xxhash64(col), F.col(parts)).alias("k")
+
+
+def each_part(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1)).alias("k")
+
+
+def _equal_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join the documents of each equal set, and the representatives (id) of all sets."""
+    heads = members.where("rep is not null and id = rep").select("a", "b", "rep").distinct()
+    parts = heads.withColumn("m", F.min("rep").over(Window.partitionBy("a", "b", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))))
+    tops = parts.where("rep = m").select("a", "b", "rep").withColumn("m", F.min("rep").over(Window.partitionBy("a", "b")))
+    edge = lambda d, to: d.where(F.col("rep") != F.col(to)).select(F.col("rep").alias("a"), F.col(to).alias("b"))
+    inside = members.where("rep is not null and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    return inside.unionByName(edge(parts, "m")).unionByName(edge(tops, "m")), tops.where("rep = m").select(F.col("rep").alias("id")).distinct()
+
+
+def _first_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of each document with two leaders of each of its prefix tokens: the least id and the shortest document."""
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold
+    both = F.array(F.struct(F.col("x.id").alias("lead"), F.col("x.n").alias("m")), F.struct(F.col("y.id").alias("lead"), F.col("y.n").alias("m")))
+    leads = posts.groupBy("t").agg(F.min(F.struct("id", "n")).alias("x"), F.min(F.struct("n", "id")).alias("y"), F.count("*").alias("c"), F.max("s").alias("s")).where("c > 1")
+    leads = leads.select("t", "s", "c", F.explode(F.array_distinct(both)).alias("z")).select("t", "s", "c", "z.*")
+    parts = leads.groupBy("lead").agg(F.ceil(F.sum("c") / SHARE).alias("parts"))  # a leader leads no more lists than it has prefix tokens
+    leads = leads.join(parts, "lead").select("t", "lead", "m", "parts", each_part("s"))
+    star = posts.select("t", "id", "n", part_of("id", "s")).join(leads, ["t", "k"]).where(fits & (F.col("id") != F.col("lead"))).select("lead", "parts", "id").distinct()
+    side = lambda d, x: d.select(*(F.col(c).alias({"id": x}.get(c, f"{c}_{x}")) for c in d.columns if c != "level"))
+    led = parts.join(sets.withColumnRenamed("id", "lead"), "lead")
+    led = side(led.withColumnRenamed("lead", "id").select("id", "n", "tok", *(f"p{k}" for k in range(ORDERS)), each_part("parts")), "a").withColumnRenamed("k_a", "k")
+    pairs = star.select(F.col("lead").alias("a"), F.col("id").alias("b"), part_of("id", "parts"))
+    return pairs.join(side(sets, "b"), "b").join(led, ["a", "k"]).mapInArrow(_verify(threshold), "a bigint, b bigint")
+
+
+def _second_links(posts: DataFrame, sets: DataFrame, label: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components of the first links, from lists of prefix tokens that hold several; a table."""
+    posts = posts.join(label, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("leader"), F.count("*").alias("held"), F.max("s").alias("s")).where("lo < hi")
+    mixed = mixed.join(mixed.groupBy("leader").agg(F.ceil(F.sum("held") / SHARE).alias("parts")), "leader")
+    groups = posts.select("t", "id", "n", "c", part_of("id", "s")).join(mixed.select("t", "leader", "parts", each_part("s")), ["t", "k"])
+    groups = materialise(groups.select("leader", "parts", "id", "n", "c").distinct(), "groups")
+    chunks = groups.groupBy("leader").agg(F.max("parts").alias("parts"), F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
+    dealt = groups.select("leader", "id", "c", part_of("id", "parts")).join(chunks.select("leader", "chunks", each_part("parts")), ["leader", "k"])
+    dealt = dealt.drop("k").join(sets.drop("level"), "id").groupBy("leader", F.pmod(F.xxhash64("id"), "chunks").alias("k"))
+    one = F.struct("id", "n", "c", "tok", *(f"p{k}" for k in range(ORDERS)))
+    dealt = materialise(dealt.agg(F.collect_list(one).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
+    # sixteen chunks of a leader meet all that don't come before them in one task
+    l = dealt.select("leader", (F.col("k") / 16).cast("bigint").alias("g"), "k", "x", "lo", "hi").alias("l")
+    r = dealt.select("leader", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("k") / 16).cast("bigint"))).alias("g"), "k", "x", "lo", "hi").alias("r")
+    pairs = l.join(r, (F.col("l.leader") == F.col("r.leader")) & (F.col("l.g") == F.col("r.g")) & (F.col("l.k") <= F.col("r.k")) & (F.least("l.lo", "r.lo") < F.greatest("l.hi", "r.hi")))
+    found = materialise(pairs.select(F.col("l.x").alias("l"), F.col("r.x").alias("r")).mapInArrow(_verify_blocks(threshold), "a bigint, b bigint"), "second")
+    drop_tables(groups, dealt)
+    return found
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
@@ -339,50 +401,35 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     bits = min(18, max(6, (size >> 23).bit_length()))
     scanned = docs.mapInArrow(_scan("id", "text", width, bits), "bucket int, block bigint, idx binary, hi binary, lo binary, many binary")
     counted = materialise(scanned.groupBy("bucket").applyInArrow(_count(bits), "block bigint, meta boolean, idx binary, tok binary, held_by binary, level binary"), "shared")
-    members = counted.where("meta").select("idx").mapInArrow(_unpack_meta, "id bigint, n bigint, sig_a bigint, sig_b bigint")
+    members = counted.where("meta").select("idx").mapInArrow(_unpack_meta, "id bigint, n bigint, a bigint, b bigint, rep bigint")
     members = materialise(members, "members")
-    classes = members.where("n > 0 and id is not null").groupBy("sig_a", "sig_b").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
-    schema = "id bigint, n bigint, tok binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
+    same, reps = _equal_sets(members)
+    schema = "id bigint, n bigint, level binary, tok binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
     sets = counted.groupBy("block").applyInArrow(_prefixes(threshold), schema)
-    sets = materialise(sets.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "sets")
-    posts = materialise(sets.mapInArrow(_postings, "t bigint, id bigint, n bigint"), "postings")
-
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold
-    lead = posts.groupBy("t").agg(F.min(F.struct("id", "n")).alias("x"), F.min(F.struct("n", "id")).alias("y"), F.count("*").alias("c")).where("c > 1")
-    star = posts.join(lead, "t").select("id", "n", F.explode(F.array(F.struct(F.col("x.id").alias("id"), F.col("x.n").alias("n")), F.struct(F.col("y.id").alias("id"), F.col("y.n").alias("n")))).alias("z"))
-    star = star.select("id", "n", F.col("z.id").alias("other"), F.col("z.n").alias("m")).where(fits & (F.col("id") != F.col("other")))
-    star = star.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    first = materialise(_verified(star, sets, threshold), "links")
-    label = components(first, src="a", dst="b")
-
-    # what the first links leave apart meets again under the leader of each list that holds several components
-    posts = posts.join(label, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("leader")).where("lo < hi").select("t", "leader")
-    groups = materialise(posts.join(mixed, "t").select("leader", "id", "c").distinct(), "groups")
-    parts = groups.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("k"))
-    chunks = groups.join(parts, "leader").join(sets, "id").groupBy("leader", F.pmod(F.xxhash64("id"), "k").alias("k"))
-    chunks = chunks.agg(F.collect_list(F.struct("id", "n", "c", "tok", *(f"p{k}" for k in range(ORDERS)))).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    chunks = materialise(chunks, "chunks")
-    l, r = chunks.alias("l"), chunks.alias("r")
-    pairs = l.join(r, (F.col("l.leader") == F.col("r.leader")) & (F.col("l.k") <= F.col("r.k")) & (F.least("l.lo", "r.lo") < F.greatest("l.hi", "r.hi")))
-    second = pairs.select(F.col("l.x").alias("l"), F.col("r.x").alias("r")).mapInArrow(_verify_blocks(threshold), "a bigint, b bigint")
-
-    # classes, versions of one id and links together
-    same = members.where("n > 0 and id is not null").join(classes.where("size > 1"), ["sig_a", "sig_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    label = components(label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second).unionByName(same), src="a", dst="b")
-    out = members.join(label, "id", "left")
+    sets = materialise(sets.join(reps, "id", "left_semi"), "sets")
+    drop_tables(counted)
+    posts = materialise(sets.select("id", "n", "level", "p0").mapInArrow(_postings, "t bigint, id bigint, n bigint, s bigint"), "postings")
+    label = components(_first_links(posts, sets, threshold), src="a", dst="b")
+    second = _second_links(posts, sets, label, threshold)
+    # links, classes and versions of one id together
+    joined = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    label = components(joined.unionByName(second).unionByName(same), src="a", dst="b")
+    drop_tables(posts, sets, second)
+    out = members.select("id", "n").join(label, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns kept.
 
-    Rows without shingles and rows with a null id stay; of repeated rows with one id one stays.
+    Rows without shingles and rows with a null id stay. Of rows that repeat an id and its text one stays; different
+    texts under one id are versions, and all of them stay.
     """
     found = materialise(ngram_jaccard_components(docs, id_col, text_col, width, threshold), "found")
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    key, columns = f"`{id_col}`", [F.col(f"`{c}`") for c in docs.columns]
+    gone = found.where(F.col("component_id") != F.col(key)).select(key).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(*columns)
+    again = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
     if again.isEmpty():
         return kept
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    return kept.join(again, id_col, "left_anti").select(*columns).unionByName(kept.join(again, id_col, "left_semi").select(*columns).dropDuplicates([id_col, text_col]))

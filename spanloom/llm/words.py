@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import U64, ranges_hash
+from .common import U64, ranges_equal, ranges_hash
 
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 KIND = np.full(256, OTHER, np.uint8)
@@ -85,44 +85,65 @@ def split(data: np.ndarray, offsets: np.ndarray, keep_space: bool) -> tuple[np.n
 
 
 class WordTable:
-    """ids of words by their 64-bit hash and length, filled from ``encode`` (words to id lists) as words turn up.
+    """ids of words, filled from ``encode`` (words to id lists) as words turn up.
 
-    Bounded: beyond ``most`` words it starts anew.
+    Words are found by their 64-bit hash and then compared byte by byte; where two words of a batch or of the
+    table share a hash, the batch is encoded without the table. Bounded: beyond ``most`` words or ``most_bytes``
+    bytes of words it starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000, most_bytes: int = 64 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.first, self.size = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.text_at, self.text_size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.text, self.text_used = np.empty(1 << 18, np.uint8), 0
 
     def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words end to end, and how many each word has."""
         if not len(starts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.text_used > self.most_bytes:
             self.clear()
         keys, where, inv = np.unique(ranges_hash(data, starts, ends), return_index=True, return_inverse=True)
+        a, b = starts[where], ends[where]
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         there = at < len(self.keys)
         known[there] = self.keys[at[there]] == keys[there]
+        old = at[known]
+        if not (ranges_equal(data, starts, ends, data, a[inv], b[inv]).all() and ranges_equal(data, a[known], b[known], self.text[: self.text_used], self.text_at[old], self.text_at[old] + self.text_size[old]).all()):
+            raw = data.tobytes()
+            ids, size = self.encode([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist())])
+            return ids, size.astype(np.int64)
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            ids, size = self.encode([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            first = self.used + np.cumsum(size) - size
+            words = [raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist())]
+            ids, size = self.encode(words)
+            self.ids, first = self._append(self.ids, self.used, ids, size)
             self.used += len(ids)
+            length = b[new] - a[new]
+            self.text, text_at = self._append(self.text, self.text_used, np.frombuffer(b"".join(words), np.uint8), length)
+            self.text_used += int(length.sum())
             self.keys = np.insert(self.keys, at[new], keys[new])
             self.first = np.insert(self.first, at[new], first)
             self.size = np.insert(self.size, at[new], size)
+            self.text_at = np.insert(self.text_at, at[new], text_at)
+            self.text_size = np.insert(self.text_size, at[new], length)
             at = np.searchsorted(self.keys, keys)
         first, size = self.first[at][inv], self.size[at][inv].astype(np.int64)
         total = np.cumsum(size)
         pos = np.arange(total[-1]) + np.repeat(first - (total - size), size)
         return self.ids[pos], size
+
+    @staticmethod
+    def _append(store: np.ndarray, used: int, more: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The store with ``more`` written at ``used``, grown where needed, and where each of its parts begins."""
+        if used + len(more) > len(store):
+            store = np.concatenate([store, np.empty(max(len(store), len(more)), store.dtype)])
+        store[used : used + len(more)] = more
+        return store, used + np.cumsum(size, dtype=np.int64) - size

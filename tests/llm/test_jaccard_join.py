@@ -135,15 +135,67 @@ def test_a_null_id_does_not_hide_its_copies(spark):
 
 @pytest.mark.parametrize("bits", [6, 16, 18])
 def test_tokens_come_back_whole_from_their_bucket(bits):
-    """What a bucket restores equals what stays with the block, and tokens of several documents keep their number."""
-    tok = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+    """All 64 bits come back, and tokens of several documents keep their number."""
+    tok = np.sort(np.random.default_rng(bits).integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + np.uint64(1))
     bucket = int(tok[0] >> np.uint64(64 - bits))
     tok = tok[tok >> np.uint64(64 - bits) == bucket]
-    rest = tok << np.uint64(bits) >> np.uint64(16)
+    rest = tok & np.uint64((1 << 64 - bits) - 1)
     hi, lo = (rest >> np.uint64(32)).astype(np.int64), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     idx, many = np.full(len(tok), J.SEVERAL, np.uint16), np.full(len(tok), 16, np.uint16)
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    row = (bucket, 7, idx.tobytes(), np.diff(hi, prepend=0).astype(np.uint16).tobytes(), lo.tobytes(), many.tobytes())
+    row = (bucket, 7, idx.tobytes(), np.diff(hi, prepend=0).astype(np.uint32).tobytes(), lo.tobytes(), many.tobytes())
     out = J._count(bits)(pa.table([pa.array([v], t) for v, t in zip(row, kinds)], ["bucket", "block", "idx", "hi", "lo", "many"]))
-    assert np.array_equal(np.sort(np.frombuffer(out.column("tok")[0].as_py(), np.uint64)), J.kept_bits(tok, bits))
+    assert np.array_equal(np.sort(np.frombuffer(out.column("tok")[0].as_py(), np.uint64)), tok)
     assert set(out.column("level")[0].as_py()) == {32}  # 8 * log2(16)
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids that a float can't hold stay what they are where a batch has null ids too."""
+    text = " ".join(f"g{i}" for i in range(30))
+    rows = [((1 << 60) + 1, text), ((1 << 60) + 3, text + " end"), (None, text), ((1 << 60) + 5, "other words of another text")]
+    got = J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    want = [((1 << 60) + 1, 26, (1 << 60) + 1), ((1 << 60) + 3, 27, (1 << 60) + 1), (None, 26, None), ((1 << 60) + 5, 1, (1 << 60) + 5)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_words_with_one_polynomial_hash_stay_apart():
+    """Thue-Morse words and their complements collide under any polynomial modulo a power of two."""
+    for k in (10, 11, 12):
+        bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+        a, b = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+        one, other = J.shingle_sets(*flat(pa.array([a, b])))
+        assert one[0] != other[0]
+
+
+def test_blocks_are_bounded_in_rows(spark):
+    """More short texts than a block's positions can number, whatever the session says about batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200000")
+    try:
+        rows = spark.range(140_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("k"), F.pmod("id", F.lit(70_000)).cast("string")).alias("text")).coalesce(1)
+        got = J.ngram_jaccard_components(rows)
+        assert got.where("component_id <> doc_id % 70000 or n_shingles <> 1").count() == 0 and got.count() == 140_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_hot_keys_in_many_parts_give_the_same(spark, monkeypatch, seed):
+    """With the least shares per part, every list, leader and class is dealt over many parts."""
+    monkeypatch.setattr(J, "SHARE", 2)
+    monkeypatch.setattr(J, "PARTS", 3)
+    monkeypatch.setattr(J, "CHUNK", 2)
+    rows = corpus(seed, 250)
+    got = {tuple(r) for r in J.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_components_of_a_hub_in_parts(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(900, i) for i in range(400, 800)] + [(5, 900)]
+    got = {r["component_id"] for r in components(spark.createDataFrame(edges, "src bigint, dst bigint"), salts=3).collect()}
+    assert got == {0}
+
+
+def test_keep_one_keeps_versions(spark):
+    rows = [(1, "alpha beta gamma delta eps"), (1, "other words of this id here"), (1, "other words of this id here"), (2, "alpha beta gamma delta eps"), (3, None), (3, None)]
+    kept = J.keep_one_of_each_component(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)

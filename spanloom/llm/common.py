@@ -238,14 +238,38 @@ def with_columns(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), more])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most ``per_class[y]`` (text, label) rows of each label y, those with the least id hashes: bounded, and the same at every run."""
-    picked: list[int] = []
-    for y, most in sorted(per_class.items()):
-        rows = labels.where(may_learn & (F.col(label) == y)).select(id_col).distinct()
-        picked += [r[0] for r in rows.orderBy(F.xxhash64(id_col), id_col).limit(most).collect()]
-    if not picked:
-        return []
-    texts = docs.where(F.col(id_col).isin(picked) & F.col(text_col).isNotNull()).groupBy(id_col).agg(F.min(text_col).alias("t"))
-    ys = labels.where(F.col(id_col).isin(picked)).groupBy(id_col).agg(F.max(label).alias("y"))
-    return [(r[0], int(r[1])) for r in texts.join(ys, id_col).orderBy(F.xxhash64(id_col), id_col).select("t", "y").collect()]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, per_class: dict[int, int], id_col: str = "doc_id", text_col: str = "text", row_bytes: int = 1 << 20) -> DataFrame:
+    """``(id, text, y)`` of at most ``per_class[y]`` ids of each label y, those with the least id hashes; the same at every run.
+
+    An id labelled both ways counts as the greater label; of an id with several texts the first in order is taken. Null
+    texts and texts of more than ``row_bytes`` bytes are no examples.
+    """
+    marked = labels.where(may_learn & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
+    classes = [marked.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in sorted(per_class.items())]
+    picked = classes[0]
+    for more in classes[1:]:
+        picked = picked.unionByName(more)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= row_bytes)
+    # the limits bound what is broadcast
+    return texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def learn_in_a_task(sample: DataFrame, fit: Callable[[list[tuple]], dict], order: list, most_bytes: int, text_col: str = "text") -> dict:
+    """``fit`` of the rows of a bounded sample, run in one task: neither texts nor training are the driver's.
+
+    Rows come as tuples, in the given order, as long as their texts have ``most_bytes`` bytes together at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, left = [], most_bytes
+        for batch in batches:
+            for row, n in zip(zip(*(c.to_pylist() for c in batch.columns)), pc.binary_length(batch.column(text_col)).to_pylist()):
+                left -= n
+                if left < 0:
+                    break
+                rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    small_batches(sample.sparkSession)
+    found = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, flat, slices, small_batches, with_columns
+from .common import U64, flat, learn_in_a_task, slices, small_batches, with_columns
 
 TAGS = U64(0x1FFFFF << 42), U64(0x1FFFFE << 42)
 
@@ -43,15 +43,33 @@ def gram_keys(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def ranking(keys: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent grams, most frequent first; of equally frequent ones the smaller code first."""
-    grams, n = np.unique(keys, return_counts=True)
+def top(grams: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent of sorted grams, most frequent first; of equally frequent ones the smaller code first."""
     return grams[np.argsort(-n, kind="stable")[:most]]
 
 
+def ranking(keys: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent grams of a list."""
+    return top(*np.unique(keys, return_counts=True), most)
+
+
+def tally(texts: list[str], every: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all texts and how often each occurs, counted a bounded number of grams at a time."""
+    grams, n, new, size = np.empty(0, U64), np.empty(0, np.int64), [], 0
+    for k, text in enumerate(texts, 1):
+        new += gram_keys(pa.array([text], pa.string()))
+        size += len(new[-1])
+        if size >= every or k == len(texts):
+            g, m = np.unique(np.concatenate(new), return_counts=True)
+            grams, back = np.unique(np.concatenate([grams, g]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n, m]), len(grams)).astype(np.int64)
+            new, size = [], 0
+    return grams, n
+
+
 def fit_profiles(texts: dict[str, list[str]], most: int = 300) -> dict:
     """Profiles of each language from its texts; languages whose texts have no letter are left out."""
-    lists = {k: ranking(np.concatenate(gram_keys(pa.array(v, pa.string()))), most) for k, v in sorted(texts.items())}
+    lists = {k: top(*tally(v), most) for k, v in sorted(texts.items())}
     lists = {k: v for k, v in lists.items() if len(v)}
     grams = np.unique(np.concatenate([*lists.values(), np.empty(0, U64)]))
     ranks = np.full((len(grams) + 1, len(lists)), most, np.int32)
@@ -80,36 +98,43 @@ def classify(model: dict, texts: pa.Array) -> tuple[list[str], list[float]]:
     return preds, scores
 
 
-def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_rows: int = 6000, most: int = 300) -> dict:
-    """Fits profiles on a bounded sample: at most ``per_language`` rows of a language, ``max_rows`` in all, least id hashes first."""
-    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    ids = rows.select(id_col, lang_col).withColumn("_r", rank).where(F.col("_r") <= per_language).orderBy("_r", lang_col).limit(max_rows)
-    picked = [r[0] for r in ids.select(id_col).collect()]  # at most max_rows
-    texts: dict[str, list[str]] = {}
-    if picked:
-        for k, v in rows.where(F.col(id_col).isin(picked)).orderBy(F.xxhash64(id_col)).select(lang_col, text_col).limit(2 * max_rows).collect():
-            texts.setdefault(k, []).append(v)
-    return fit_profiles(texts, most)
-
-
-def predict_language(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) appended.
-
-    Null or empty texts and texts without a letter give ``und`` and 0, as does an empty model. All other
-    columns pass through untouched (input columns named like the two outputs are replaced). Repeated rows
-    get equal answers; of languages at the same distance the first in the alphabet wins.
+def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_rows: int = 6000, most: int = 300, row_bytes: int = 1 << 20, most_bytes: int = 32 << 20) -> dict:
+    """Fits profiles on a bounded sample, in one task: at most ``per_language`` rows of a language, ``max_rows`` in all, those with
+    the least id hashes (of equal ids the lesser text); texts of at most ``row_bytes`` bytes, ``most_bytes`` bytes in all.
+    """
+    rows = docs.where(may_learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= row_bytes)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    keys = rows.select("lang", F.xxhash64("id").alias("h"), "id", F.xxhash64("text").alias("t"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
+    # a language with a third of all rows is ranked in each task, then in 64 parts, then as a whole
+    for part in (["lang", "part"], ["lang"]):
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "id", "t"))).where(F.col("r") <= per_language)
+    picked = keys.orderBy("r", "lang").limit(max_rows).select("lang", "id", "t").distinct()  # max_rows bounds what is broadcast
+    sample = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "id", "t"]).groupBy("lang", "id", "t").agg(F.min("text").alias("text"))
+
+    def fit(found: list[tuple]) -> dict:
+        texts: dict[str, list[str]] = {}
+        for lang, text, *_ in found:
+            texts.setdefault(lang, []).append(text)
+        return fit_profiles(texts, most)
+
+    return learn_in_a_task(sample.select("lang", "text", "id", "t"), fit, [F.xxhash64("id"), "id", "lang", "t"], most_bytes)
+
+
+def predict_language(docs: DataFrame, model: dict, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1) appended, under these or other ``names``.
+
+    Null or empty texts and texts without a letter give ``und`` and 0, as does an empty model. A text of any length is
+    ranked whole. An empty table gives an empty result. All other columns pass through untouched (input columns named
+    like the two outputs are replaced). Repeated rows get equal answers; of languages at the same distance the first in
+    the alphabet wins.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     box = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x profile length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text_col):
                 preds, scores = classify(box.value, piece.column(text_col))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*piece.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(run, with_columns(docs, "lang_pred string, score double"))
-
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*piece.schema.names, *names])
 
+    return docs.mapInArrow(run, with_columns(docs, f"`{names[0]}` string, `{names[1]}` double"))

@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import flat, ranges_hash, runs, slices, small_batches, with_columns
+from .common import flat, learn_in_a_task, ranges_hash, runs, slices, small_batches, with_columns
 
 GRAMS = 2048
 SHAPES = 32
@@ -87,6 +88,11 @@ def fit(rows: list[tuple[str, int]], dim: int = 48, neighbours: int = 15, seed:
     return {"basis": basis, "idf": idf, "vectors": unit(x @ basis), "labels": y, "k": min(neighbours, len(rows)), "prior": float(y.mean())}
 
 
+def learn(sample: DataFrame, most_bytes: int = 24 << 20) -> dict:
+    """``fit`` of a ``labelled_sample`` in one task, on at most ``most_bytes`` bytes of text."""
+    return learn_in_a_task(sample.select("text", "y", "id"), lambda rows: fit([(t, int(y)) for t, y, _ in rows]), [F.xxhash64("id"), "id"], most_bytes)
+
+
 def scores(model: dict, texts: pa.Array, block: int = 256) -> np.ndarray:
     """Votes of the nearest labelled vectors, all that tie with the last among them; without any similarity the mean label."""
     out = np.empty(len(texts))
@@ -100,21 +106,21 @@ def scores(model: dict, texts: pa.Array, block: int = 256) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def score_quality(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``) appended.
+def score_quality(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``) appended, under these or other ``names``.
 
-    Null and empty texts have no vector and get the mean label of the sample. Other columns pass through
-    untouched (input columns named like the two outputs are replaced); repeated rows get equal scores; an
+    Null and empty texts have no vector and get the mean label of the sample. A text of any length is scored whole;
+    its vector has a fixed size. Other columns pass through untouched (input columns named like the two outputs are replaced); repeated rows get equal scores; an
     empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     box = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text_col):
                 s = scores(box.value, piece.column(text_col))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*piece.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*piece.schema.names, *names])
 
-    return docs.mapInArrow(run, with_columns(docs, "score double, predicted int"))
+    return docs.mapInArrow(run, with_columns(docs, f"`{names[0]}` double, `{names[1]}` int"))

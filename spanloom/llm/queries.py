@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +10,26 @@ from . import ann, bpe, embedding_dedup, language_id, license_scan, packing, qua
 from .common import labelled_sample, read_table, remainder
 from .jaccard_join import ngram_jaccard_components
 
-#: Where the vocabulary files of the public tokenizers lie.
-TOKENIZERS = os.environ.get("SPANLOOM_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary files of the public tokenizers.
+WORD_BPE, BYTE_BPE, BYTE_RANKS = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", remainder("doc_id", 3) != 1, per_class={1: 1500, 0: 3000})
-    scored = toxicity.score_toxicity(docs, toxicity.fit(rows))
+    scored = toxicity.score_toxicity(docs, toxicity.learn(rows))
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 5) != 0, per_class={1: 1500, 0: 1500})
-    scored = quality.score_quality(docs, quality.fit(rows))
+    scored = quality.score_quality(docs, quality.learn(rows))
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digest_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return packing.pack(docs, BYTE_BPE, BYTE_RANKS)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,3 +50,51 @@ def test_empty(spark):
         assert docs.count() == 0, name
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_columns_of_documents_are_left_alone(spark):
+    """Columns with the names of the operators' outputs come through as they are, and so do very long texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = docs.withColumns({"Score": F.concat(F.lit("s"), F.col("doc_id")), "predicted": F.lit("p"), "lang_pred": F.lit("l"), "component_id": F.lit("c"), "n_shingles": F.lit("n")})
+    long = more.where("doc_id = 0").withColumns({"doc_id": F.lit(77_777).cast("bigint"), "Score": F.lit("s77777"), "text": F.concat_ws(" ", F.array_repeat("text", 200), F.lit("and an end"))})
+    more = more.unionByName(long)
+    for name, stage in C.STAGES[:3]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns and dict(out.dtypes) == dict(more.dtypes), name
+        assert out.where("Score <> concat('s', doc_id) or predicted <> 'p' or lang_pred <> 'l' or component_id <> 'c' or n_shingles <> 'n'").count() == 0, name
+    assert C.language(spark, more, SF).where("doc_id = 77777").count() == 1
+
+
+def test_decisions_by_brute_force(spark):
+    """Language: profiles learned and compared in plain Python. Toxicity: the model of the stage, piece by piece."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = C.language_id.learn(docs, F.lit(True))
+
+    def profile(text):
+        n = {}
+        low = "".join(c if c.isalpha() else "\0" for c in text.lower())
+        for k in (1, 2, 3):
+            for i in range(len(low) - k + 1):
+                g = low[i : i + k]
+                if (g[0] != "\0") if k == 1 else (g != "\0\0") if k == 2 else g[1] != "\0":
+                    n[g] = n.get(g, 0) + 1
+        key = {1: lambda g: ord(g) | 0x1FFFFF << 42, 2: lambda g: ord(g[0]) * (g[0] != "\0") << 21 | ord(g[1]) | 0x1FFFFE << 42, 3: lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])}
+        return sorted((key[len(g)](g) for g in n), key=lambda x, m={key[len(g)](g): c for g, c in n.items()}: (-m[x], x))[:300]
+
+    theirs = [dict(zip(model["grams"][(r := model["ranks"][:-1, j]) < 300].tolist(), r[r < 300].tolist())) for j in range(len(model["langs"]))]
+    want = set()
+    for i, r in rows.items():
+        mine = profile(r["text"] or "")
+        if mine and 1 - min(sum(abs(k - t[g]) if g in t else 300 for k, g in enumerate(mine)) for t in theirs) / (300 * len(mine)) >= C.LEAST_LANGUAGE_SCORE:
+            want.add(i)
+    assert {r["doc_id"] for r in C.language(spark, docs, SF).select("doc_id").collect()} == want
+    sample = C.labelled_sample(docs, spark.read.parquet(f"{SF}/labels.parquet"), "toxic", C.remainder("doc_id", 3) != 1, per_class={1: 1500, 0: 3000})
+    tox = C.toxicity.learn(sample)
+    keep = set()
+    for i, r in rows.items():
+        idx, w = C.toxicity.bag(r["text"] or "")
+        z = float((tox["table"][idx].astype(float) * w).sum()) + tox["bias"]
+        if 1 / (1 + 2.718281828459045**-z) < 0.7:
+            keep.add(i)
+    assert {r["doc_id"] for r in C.toxic(spark, docs, SF).select("doc_id").collect()} == keep

@@ -11,7 +11,7 @@ from spanloom.llm import language_id as L
 from spanloom.llm import license_scan as S
 from spanloom.llm import quality as Q
 from spanloom.llm import queries, toxicity as X
-from spanloom.llm.common import labelled_sample, remainder
+from spanloom.llm.common import labelled_sample, learn_in_a_task, remainder
 
 SCHEMA = "doc_id bigint, text string, lang string, score string, predicted string, extra int"
 ROWS = [(1, "the cat sat on the mat and the dog", "en", "a", "b", 1), (1, "the cat sat on the mat and the dog", "en", "a", "b", 1), (None, None, None, None, None, None), (2, "", None, "x", "y", 2), (3, "123 !!", "en", "", "", 3), (4, "der hund und die katze " * 5000, "de", "q", "r", 4)]
@@ -89,6 +89,7 @@ def test_toxicity_edge_cases(spark):
     assert len(empty) == 1
     assert X.score_toxicity(edge(spark).limit(0), X.fit([])).count() == 0
     assert X.fit([("a", 1)])["bias"] > 0 > X.fit([("a", 0)])["bias"]
+    assert not X.fit([("abc", 1), ("xyz", 0)])["table"].any() and not X.fit([("", 1), (" ", 0)])["table"].any()
 
 
 def test_quality_votes_by_brute_force():
@@ -115,7 +116,7 @@ def test_quality_edge_cases(spark):
 def test_labelled_sample_is_bounded_and_keeps_to_the_fold(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, toxic int")
-    rows = labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) != 1, {0: 5, 1: 7})
+    rows = [(r["text"], r["y"]) for r in labelled_sample(docs, labels, "toxic", remainder("doc_id", 3) != 1, {0: 5, 1: 7}).collect()]
     held = {r[0] for r in labels.where(remainder("doc_id", 3) == 1).select("doc_id").collect()}
     assert sum(y == 0 for _, y in rows) == 5 and sum(y for _, y in rows) == 7
     assert not held & {int(t[1:]) for t, _ in rows}
@@ -230,3 +231,82 @@ def test_any_words_of_a_license_may_miss():
             out = set(r.sample(range(len(t)), len(t) - need))
             text = " ".join(["q0 q1", *(("zz" if r.random() < 0.5 else "") if i in out else w for i, w in enumerate(t)), "q2"])
             assert any(c >= 0.8 for _, c, _, _ in scanner.scan(text)), (name, out)
+
+
+def test_sample_and_training_bounds(spark):
+    """Repeated ids and labels give one example each; rows and bytes beyond the bounds are no examples; order is fixed."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "x" * 50), (4, "dd"), (None, "n")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 1), (4, 0), (4, None), (None, 1)], "doc_id bigint, toxic int")
+    got = sorted(map(tuple, labelled_sample(docs, labels, "toxic", F.lit(True), {0: 9, 1: 9}, row_bytes=40).collect()))
+    assert got == [(1, "a", 1), (4, "dd", 0)]
+    sample = spark.createDataFrame([(i, "t" * 10, i) for i in range(20)], "id bigint, text string, y int").repartition(3)
+    keep = lambda rows: {"rows": rows}
+    assert learn_in_a_task(sample, keep, [F.desc("id")], 55)["rows"] == [(i, "t" * 10, i) for i in range(19, 14, -1)]
+    assert learn_in_a_task(sample.limit(0), keep, ["id"], 55)["rows"] == []
+
+
+def test_training_by_plain_loops():
+    """The same Adagrad steps, one number at a time."""
+    rows, dim, steps, batch, rate, seed = toy(40, 3), 2, 12, 8, 0.5, 7
+    rng = np.random.default_rng(seed)
+    bags = [dict(zip(*(x.tolist() for x in X.bag(t)))) for t, _ in rows]
+    seen = {}
+    for b in bags:
+        for i in b:
+            seen[i] = seen.get(i, 0) + 1
+    known = sorted(i for i, n in seen.items() if n >= 5)
+    v = dict(zip(known, ((rng.random((len(known), dim), dtype=np.float32) - 0.5) / dim).tolist()))
+    w = (rng.standard_normal((dim, 2)) * 0.5).tolist()
+    bias, gb, gw, gv, order = [0.0, 0.0], [1e-8] * 2, [[1e-8] * 2 for _ in range(dim)], dict.fromkeys(known, 1e-8), []
+    for _ in range(steps):
+        order = order or rng.permutation(len(rows)).tolist()
+        part, order = order[:batch], order[batch:]
+        dw, db, dv = [[0.0] * 2 for _ in range(dim)], [0.0] * 2, {}
+        for r in part:
+            bag = {i: x for i, x in bags[r].items() if i in v}
+            mean = [sum(x * v[i][j] for i, x in bag.items()) for j in range(dim)]
+            z = [sum(mean[j] * w[j][c] for j in range(dim)) + bias[c] for c in (0, 1)]
+            e = [np.exp(x - max(z)) for x in z]
+            d = [(e[c] / sum(e) - (c == rows[r][1])) / len(part) for c in (0, 1)]
+            for c in (0, 1):
+                db[c] += d[c]
+                for j in range(dim):
+                    dw[j][c] += mean[j] * d[c]
+            for i, x in bag.items():
+                g = dv.setdefault(i, [0.0] * dim)
+                for j in range(dim):
+                    g[j] += x * sum(d[c] * w[j][c] for c in (0, 1))
+        for i, g in dv.items():
+            gv[i] += sum(x * x for x in g) / dim
+            v[i] = [a - rate * x / gv[i] ** 0.5 for a, x in zip(v[i], g)]
+        for c in (0, 1):
+            gb[c] += db[c] ** 2
+            for j in range(dim):
+                gw[j][c] += dw[j][c] ** 2
+                w[j][c] -= rate * dw[j][c] / gw[j][c] ** 0.5
+            bias[c] -= rate * db[c] / gb[c] ** 0.5
+    model = X.fit(rows, dim=dim, steps=steps, batch=batch, rate=rate, seed=seed)
+    want = [sum(v[i][j] * (w[j][1] - w[j][0]) for j in range(dim)) for i in known]
+    assert np.abs(model["table"][known] - want).max() < 1e-3 * max(map(abs, want)) and abs(model["bias"] - (bias[1] - bias[0])) < 1e-3
+
+
+def test_pieces_are_of_characters():
+    """A Cyrillic word has the pieces of its letters, whatever bytes they take."""
+    count = lambda t: [int(m.sum()) for _, m, _ in X.features(pa.array([t]))]
+    assert count("\u0441\u043b\u043e\u0432\u043e") == count("words") == [5, 4, 3, 1]
+
+
+def test_language_sample_in_parts(spark):
+    """Ids that repeat, hot languages and rows beyond the byte bounds: the sample is of the least hashes still."""
+    rows = [(i, f"word{i} text", "a") for i in range(200)] + [(7, "another text", "a"), (9, None, "a"), (500, "z" * 5000, "b"), (501, "kleines wort", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.learn(df, F.lit(True), per_language=3, row_bytes=1000)
+    ids = [r["doc_id"] for r in df.where("lang = 'a' and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(3).collect()]
+    want = L.fit_profiles({"a": [next(t for j, t, _ in rows if j == i) for i in ids], "b": ["kleines wort"]})
+    assert model["langs"] == ["a", "b"] and (model["grams"] == want["grams"]).all() and (model["ranks"] == want["ranks"]).all()
+
+
+def test_tally_in_parts():
+    texts = ["the cat", "sat on the mat", "", "12"]
+    for a, b in zip(L.tally(texts, every=3), L.tally(texts)):
+        assert (a == b).all()

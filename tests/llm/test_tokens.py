@@ -12,9 +12,12 @@ from tokenizers import Tokenizer
 
 from spanloom.llm import bpe as B
 from spanloom.llm import packing as P
-from spanloom.llm.queries import QUERIES, TOKENIZERS
+from spanloom.llm.queries import BYTE_BPE as BYTE
+from spanloom.llm.queries import BYTE_RANKS as RANKS
+from spanloom.llm.queries import QUERIES
+from spanloom.llm.queries import WORD_BPE as WORD
+from spanloom.llm.words import WordTable
 
-WORD, BYTE, RANKS = f"{TOKENIZERS}/word_bpe_49k.json", f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 BITS = ["a", "B", "é", "É", "ß", " ", "  ", "\n", "\t", "'", "'s", "'re", "'ll", "'ve", "1", "23", "!", "?", "-", "don't", "I'm", "...", "\r\n", "x", "'t", "<|endoftext|>", "<|startoftext|>", "中", "œ", "\x1c", "×", "\xa0", "''", "Hello", "the ", "İ", "é", "aaaa", "\x85", "٣", "👍"]
 
 
@@ -72,6 +75,8 @@ def test_bpe_edge_cases(spark):
     got = B.digest_documents(df, WORD).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 1, 1]
     assert B.digest_documents(df.limit(0), WORD).count() == 0
+    twin = df.withColumnRenamed("n_tokens", "__text").withColumn("ids", F.lit("clash"))
+    assert sorted(r["n_tokens"] for r in B.digest_documents(twin, WORD).where("`__text` is not null").collect()) == [0, 1, 1]
     full = {r["doc_id"]: r for r in B.encode_documents(df, WORD).collect()}
     assert full[1]["decoded"] == "hello</w>" and full[2]["ids"] == []
 
@@ -132,3 +137,37 @@ def test_pack_query_has_little_padding(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert check_packing(rows, QUERIES["op9_packing"](spark, sf).collect(), 1024) < 0.02
+
+
+def thue_morse(k):
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_that_polynomials_confuse(k):
+    texts = thue_morse(k) + [" ".join(thue_morse(k))]
+    for e in (B.encoder(WORD), P.byte_encoder(BYTE, RANKS)):
+        for got, t in zip(e(pa.array(texts)), texts):
+            assert got.tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def test_word_table_where_all_hashes_are_equal(monkeypatch):
+    """Words are told apart by their bytes, within a batch and against the table."""
+    import spanloom.llm.words as words
+
+    monkeypatch.setattr(words, "ranges_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    table = WordTable(lambda ws: (np.array([len(w) * 1000 + w[0] for w in ws], np.uint32), np.ones(len(ws), np.int32)))
+    look = lambda ws: table.lookup(np.frombuffer(b"".join(ws), np.uint8), np.cumsum([0, *map(len, ws)])[:-1], np.cumsum([*map(len, ws)]))[0].tolist()
+    long = b"q" * 200
+    for ws in ([b"ab", b"ab"], [b"ac", b"ab"], [b"cd"], [long], [long[:-1] + b"r", long], [b"ab"]):
+        assert look(ws) == [len(w) * 1000 + w[0] for w in ws]
+
+
+def test_word_table_starts_anew(monkeypatch):
+    table = WordTable(lambda ws: (np.array([len(w) for w in ws], np.uint32), np.ones(len(ws), np.int32)), most=50, most_bytes=400)
+    for i in range(60):
+        w = [f"w{i}{j}".encode() * (1 + j % 7) for j in range(20)]
+        ends = np.cumsum([*map(len, w)])
+        assert table.lookup(np.frombuffer(b"".join(w), np.uint8), ends - [*map(len, w)], ends)[0].tolist() == [*map(len, w)]
+    assert table.text_used < 2000

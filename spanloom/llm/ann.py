@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by multi-index hashing, for the largest inner product.
 
 Vectors get one more component that makes all norms equal, so that order by angle is order by inner product.
-Learned rotations (iterative quantisation on a bounded sample) turn them into binary codes, cut into 8-bit
+Learned rotations (iterative quantisation on a bounded sample) turn them into binary codes, cut into 16-bit
 substrings. A code within Hamming radius r of a query's agrees with it up to r/m bits in at least one of m
 substrings (pigeonhole), so probing all substring values that near in every index finds every such code;
 what is within the radius is reranked by exact inner products in double precision. The radius is learned:
 exact neighbours of some queries give the distance within which nearly all neighbours lie.
 
-Rows are dealt by id hash into blocks of bounded size, each with its own substring indexes; blocks of queries
-meet blocks of rows, each meeting returns each query's best few, and the best of those are the answer.
+Rows are dealt by id hash into blocks of bounded size. A task reads a block, indexes its substrings once, and then
+takes the queries block by block; each meeting returns each query's best few, and the best of those are the answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import dimension, packed, sample
+from .vectors import dimension, packed, sample, scaled
 
-BLOCK, QUERIES = 16384, 2048
-POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+BLOCK, QUERIES = 8192, 1024
+WIDE = 16
+#: Blocks whose answers to a query meet first, where there are more.
+BLOCKS_AT_ONCE = 512
+POP = np.bitwise_count(np.arange(1 << WIDE, dtype=np.uint16))
 
 
 def learn_rotations(x: np.ndarray, bits: int, rounds: int = 20, seed: int = 9) -> np.ndarray:
@@ -42,44 +46,71 @@ def learn_rotations(x: np.ndarray, bits: int, rounds: int = 20, seed: int = 9) -
 
 
 def lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
-    """One more component: rows all get norm ``most``, queries get 0."""
-    last = np.zeros(len(x)) if query else np.sqrt(np.maximum(most * most - np.einsum("ij,ij->i", x, x), 0))
+    """Scaled, with one more component: rows all get norm 1 (``most`` is the largest norm), queries get 0."""
+    x = scaled(x) if query else x / most
+    last = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))
     return np.concatenate([x, last[:, None]], axis=1)
 
 
 def codes(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    return np.packbits(x @ directions > 0, axis=1)
+    """The code of each row as substrings of 16 bits."""
+    return np.packbits(x @ directions > 0, axis=1).view(np.uint16)
+
+
+@cache
+def masks(radius: int) -> np.ndarray:
+    """All substrings of at most ``radius`` ones."""
+    return np.flatnonzero(POP <= radius).astype(np.uint16) if radius >= 0 else np.empty(0, np.uint16)
 
 
 class SubstringIndexes:
-    """For each 8-bit substring of a block's codes, its rows by value."""
+    """For each substring of a block's codes, its rows by value."""
 
     def __init__(self, c: np.ndarray):
-        self.codes = c
-        self.rows = np.argsort(c, axis=0, kind="stable").T
-        self.first = np.stack([np.searchsorted(c[r, j], np.arange(257)) for j, r in enumerate(self.rows)])
+        self.codes = np.ascontiguousarray(c.T)
+        self.rows = [np.argsort(x, kind="stable") for x in self.codes]
+        self.values = [np.unique(x) for x in self.codes]
+        self.first = [np.append(np.searchsorted(x[r], v), len(x)) for x, r, v in zip(self.codes, self.rows, self.values)]
+        self.visited = 0
 
     def within(self, q: np.ndarray, radius: int) -> np.ndarray:
         """The rows whose code is within ``radius`` of the query code ``q``."""
         m = len(q)
         each, more = divmod(radius, m)
-        hit = np.zeros(len(self.codes), bool)
+        hit = np.zeros(self.codes.shape[1], bool)
         for j in range(m):
-            near = np.flatnonzero(POP[np.arange(256) ^ q[j]] <= each - (j > more))
-            for v in near.tolist():
-                hit[self.rows[j, self.first[j, v] : self.first[j, v + 1]]] = True
+            near = each - (j > more)
+            if near < 0:
+                continue
+            values = self.values[j]
+            if len(masks(near)) <= len(values):  # probe each value that near
+                probe = masks(near) ^ q[j]
+                at = np.minimum(np.searchsorted(values, probe), len(values) - 1)
+                at = at[values[at] == probe]
+            else:  # fewer values are there than are that near
+                at = np.flatnonzero(POP[values ^ q[j]] <= near)
+            a, n = self.first[j][at], self.first[j][at + 1] - self.first[j][at]
+            total = np.cumsum(n)
+            if len(n):
+                hit[self.rows[j][np.arange(total[-1]) + np.repeat(a - (total - n), n)]] = True
         rows = np.flatnonzero(hit)
-        return rows[POP[self.codes[rows] ^ q].sum(1) <= radius]
+        self.visited += len(rows)
+        distance = np.zeros(len(rows), np.uint16)
+        for j in range(m):
+            distance += POP[self.codes[j, rows] ^ q[j]]
+        return rows[distance <= radius]
 
 
 def _blocks(model: dict, query: bool):
-    """One row for each block: ids, vectors and codes as bytes. Of rows with one id the first is taken."""
+    """One row for each block: ids, vectors and codes as bytes. Of rows with one id that of the least bytes is taken."""
 
     def run(table: pa.Table) -> pa.Table:
+        slot = table.column("slot").slice(0, 1)
+        table = table.sort_by([("id", "ascending"), ("v", "ascending")])
         ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
         x = np.stack([np.frombuffer(v.as_buffer()) for v in table.column("v").take(pa.array(first))])
         c = codes(lifted(x, model["norm"], query), model["directions"])
-        return pa.table({"slot": table.column("slot").slice(0, 1), "ids": [ids.tobytes()], "x": [x.tobytes()], "c": [c.tobytes()]})
+        return pa.table({"slot": slot, "ids": [ids.tobytes()], "x": [x.tobytes()], "c": [c.tobytes()]})
 
     return run
 
@@ -95,24 +126,32 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(model: dict, k: int, dim: int):
+    """A block of rows comes before the blocks of queries of its slot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = x = index = None
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)
-                ids, x, qids, qx = get("ids", np.int64), get("x", np.float64).reshape(-1, dim), get("qids", np.int64), get("qx", np.float64).reshape(-1, dim)
-                index, qc = SubstringIndexes(get("c", np.uint8).reshape(len(ids), -1)), get("qc", np.uint8).reshape(len(qids), -1)
+                slot = batch.column("slot")[i].as_py()
+                mine, vectors, c = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("ids", np.int64), ("x", np.float64), ("c", np.uint16)))
+                vectors, c = vectors.reshape(len(mine), dim), c.reshape(len(mine), -1)
+                if not batch.column("query")[i].as_py():
+                    ids, x, index, here = mine, vectors, SubstringIndexes(c), slot
+                    continue
+                if index is None or here != slot:
+                    continue  # no rows fell into this slot
                 out = []
-                for q in range(len(qids)):
+                for q in range(len(mine)):
                     radius = model["radius"]
-                    rows = index.within(qc[q], radius)
-                    while len(rows) <= k and len(rows) < len(ids):  # a block never offers fewer than k while it has them
-                        radius = min(2 * radius + 8, 8 * qc.shape[1])
-                        rows = index.within(qc[q], radius)
-                    rows = rows[ids[rows] != qids[q]]
-                    s = np.einsum("ij,j->i", x[rows], qx[q])
+                    rows = index.within(c[q], radius)
+                    while len(rows) <= k and len(rows) < len(ids) and radius < WIDE * c.shape[1]:  # a block never offers fewer than k while it has them
+                        radius = min(2 * radius + 8, WIDE * c.shape[1])
+                        rows = index.within(c[q], radius)
+                    rows = rows[ids[rows] != mine[q]]
+                    s = np.einsum("ij,j->i", x[rows], vectors[q])
                     top = best(ids[rows], s, k)
-                    out.append((np.full(len(top), qids[q]), ids[rows[top]], s[top]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+                    out.append((np.full(len(top), mine[q]), ids[rows[top]], s[top], np.full(len(top), slot)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in zip(*out)], ["query_id", "vec_id", "score", "slot"])
 
     return run
 
@@ -121,7 +160,9 @@ def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x = np.stack([np.frombuffer(v.as_buffer()) for v in batch.column("v")])
-            yield pa.RecordBatch.from_arrays([pa.array([np.sqrt(np.einsum("ij,ij->i", x, x)).max()])], ["n"])
+            with np.errstate(over="ignore"):
+                norm = (np.abs(x).max(1) * np.sqrt((scaled(x) ** 2).sum(1))).max()
+            yield pa.RecordBatch.from_arrays([pa.array([min(norm, np.finfo(float).max)])], ["n"])
 
 
 def fit(vectors: DataFrame, rows: int, k: int, bits: int = 128, most: int = 8192, probes: int = 64, recall: float = 0.98) -> dict:
@@ -134,8 +175,7 @@ def fit(vectors: DataFrame, rows: int, k: int, bits: int = 128, most: int = 8192
     x = sample(vectors, most)
     norm = float(vectors.mapInArrow(_norms, "n double").agg(F.max("n")).first()[0])
     y = lifted(x, norm, False)
-    unit = y / norm
-    directions = learn_rotations(unit, bits)
+    directions = learn_rotations(y, bits)
     c, q = codes(y, directions), x[:probes]
     qc = codes(lifted(q, norm, True), directions)
     near = max(1, -(-k * len(x) // max(rows, 1)))
@@ -144,7 +184,7 @@ def fit(vectors: DataFrame, rows: int, k: int, bits: int = 128, most: int = 8192
         s = x @ q[i]
         s[i] = -np.inf
         top = np.argsort(-s, kind="stable")[:near]
-        far += POP[c[top] ^ qc[i]].sum(1).tolist()
+        far += POP[c[top] ^ qc[i]].sum(1, dtype=np.int64).tolist()
     return {"directions": directions, "norm": norm, "radius": int(np.quantile(far, recall)) if far else bits}
 
 
@@ -154,7 +194,8 @@ def nearest(table: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "v
     Nearness is the inner product in double precision, ties go to the smaller id; a query with fewer than ``k``
     other rows gets them all. Null and zero vectors, those with null or non-finite components, those of another
     length than most, and rows with a null id take no part, neither as queries nor as candidates. Rows with
-    one id count as one row. An empty table gives an empty result. Other columns are ignored.
+    one id count as one row, with the vector of the least bytes. An empty table gives an empty result. Other columns
+    are ignored. Components of any finite size have codes; inner products beyond double precision come out infinite.
     """
     spark = table.sparkSession
     out = "query_id bigint, rank int, vec_id bigint, score double"
@@ -170,7 +211,11 @@ def nearest(table: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "v
     data = spread(vectors, n_blocks).groupBy("slot").applyInArrow(_blocks(model, False), schema)
     n_queries = max(1, -(-rows // (query_mod * QUERIES)))
     queries = spread(vectors.where(F.pmod("id", F.lit(query_mod)) == 0), n_queries).groupBy("slot").applyInArrow(_blocks(model, True), schema)
-    queries = queries.select(F.col("ids").alias("qids"), F.col("x").alias("qx"), F.col("c").alias("qc"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("slot"))
-    found = data.join(queries, "slot").select("ids", "x", "c", "qids", "qx", "qc").mapInArrow(_search(model, k, dim), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = queries.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+    side = lambda d, query: d.select("slot", F.lit(query).alias("query"), "ids", "x", "c")
+    both = side(data, False).unionByName(side(queries, True)).repartition(n_blocks, "slot").sortWithinPartitions("slot", "query")
+    found = both.mapInArrow(_search(model, k, dim), "query_id bigint, vec_id bigint, score double, slot bigint")
+    best_of = lambda d, *key: d.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    if n_blocks > BLOCKS_AT_ONCE:  # the same answer, but no task meets all blocks' best of a query
+        found = best_of(found, "query_id", F.floor(F.col("slot") / BLOCKS_AT_ONCE))
+    return best_of(found, "query_id").select("query_id", "rank", "vec_id", "score")

@@ -54,9 +54,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = (x @ centres.T * -2 + (centres**2).sum(1)).argmin(1)
+        near = np.concatenate([(x[i : i + 4096] @ centres.T * -2 + (centres**2).sum(1)).argmin(1) for i in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(centres))
-        total = np.zeros_like(centres)
-        np.add.at(total, near, x)
+        total = np.stack([np.bincount(near, c, len(centres)) for c in x.T], 1)
         centres[n > 0] = total[n > 0] / n[n > 0, None]
     return centres
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row by its largest component, so that no square overflows."""
+    return x / np.maximum(np.abs(x).max(1, keepdims=True), np.finfo(float).tiny)

@@ -46,11 +46,38 @@ def test_recall(spark, scale):
 
 def test_pigeonhole_misses_nothing():
     r = np.random.default_rng(2)
-    c = r.integers(0, 256, (500, 4)).astype(np.uint8)
+    for n, high in ((500, 1 << 16), (3000, 1 << 5), (40, 1 << 16)):
+        c = r.integers(0, high, (n, 4)).astype(np.uint16)
+        index = A.SubstringIndexes(c)
+        for radius in (0, 2, 3, 7, 10, 16, 30, 64):
+            q = c[7]
+            assert index.within(q, radius).tolist() == np.flatnonzero(A.POP[c ^ q].sum(1) <= radius).tolist()
+
+
+def test_close_neighbours_are_found_by_few_probes():
+    """Where neighbours are close, probing reaches a small part of a block."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((4000, 64))
+    x[1000:1020] = x[7] + 0.2 * r.standard_normal((20, 64))
+    rotations = A.learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), 128)
+    c = A.codes(x, rotations)
     index = A.SubstringIndexes(c)
-    for radius in (0, 3, 7, 10, 16):
-        q = c[7]
-        assert index.within(q, radius).tolist() == np.flatnonzero(A.POP[c ^ q].sum(1) <= radius).tolist()
+    assert set(range(1000, 1020)) <= set(index.within(c[7], 26)) and index.visited < 0.2 * len(x)
+
+
+def test_one_id_with_two_vectors_and_huge_components(spark):
+    rows = [(i, [float(i == j) + 1e-3 * j for j in range(8)]) for i in range(8)] + [(3, [9.0] * 8), (100, [1e200] * 8), (100, [2e200] * 8)]
+    a, b = (sorted(map(tuple, A.nearest(spark.createDataFrame(d, "vec_id bigint, embedding array<double>").repartition(n), query_mod=4, k=3).collect())) for d, n in ((rows, 1), (rows[::-1], 5)))
+    assert a == b and len(a) == 9 and all(v == 100 for q, rank, v, _ in a if rank == 1 and q != 100)
+
+
+def test_answers_of_many_blocks(spark, monkeypatch):
+    x = vectors(900, 8, 11)
+    want = sorted(map(tuple, A.nearest(table(spark, x)).collect()))
+    monkeypatch.setattr(A, "BLOCKS_AT_ONCE", 2)
+    monkeypatch.setattr(A, "BLOCK", 200)
+    got = sorted(map(tuple, A.nearest(table(spark, x)).collect()))
+    assert len(got) == len(want) and np.mean([p in set(want) for p in got]) > 0.95
 
 
 def test_nearest_few_rows(spark):
@@ -118,10 +145,60 @@ def test_dedup_copies_and_empty(spark):
 
 def test_multi_sequence_order():
     r = np.random.default_rng(1)
-    a, b = r.random(9), r.random(7)
-    cells = D.traverse(a, b, 30)
-    cost = [a[i] + b[j] for i, j in cells]
-    assert cost == sorted(cost) and np.allclose(cost, np.sort(np.add.outer(a, b).ravel())[:30])
+    a, b = r.random((5, 9)), r.random((5, 7))
+    cells = list(D.traverse(a, b))
+    assert len(cells) == 63
+    for k in range(5):
+        cost = [a[k, i[k]] + b[k, j[k]] for i, j in cells]
+        assert np.allclose(cost, np.sort(np.add.outer(a[k], b[k]).ravel()))
+        assert len({(i[k], j[k]) for i, j in cells}) == 63
+
+
+def test_calibration_stops_at_the_recall():
+    """With 256 codewords a half it takes seconds, as it walks only as far as the recall asks for."""
+    import time
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    grid = D.Grid(x, 256)
+    began = time.time()
+    grid.calibrate(x[:1024], 0.9, 0.97)
+    assert time.time() - began < 10 and 1 < grid.visits < 65536
+    y = 0.9 * x[:300] + np.sqrt(1 - 0.81) * (lambda z: z / np.linalg.norm(z, axis=1, keepdims=True))((lambda z: z - (z * x[:300]).sum(1)[:, None] * x[:300])(r.standard_normal((300, 64))))
+    a, b = grid.cells(x[:300]), grid.cells(y)
+    assert np.mean([p[0] in set(q) or q[0] in set(p) for p, q in zip(a.tolist(), b.tolist())]) >= 0.93
+
+
+def test_groups_of_a_meeting_by_plain_search():
+    r = np.random.default_rng(8)
+    for share in (0.02, 0.1, 0.5):
+        m = r.random((30, 25)) < share
+        row, col = D.groups(m)
+        label = list(range(55))
+        for _ in range(55):
+            for i, j in zip(*np.nonzero(m)):
+                label[i] = label[30 + j] = min(label[i], label[30 + j])
+        assert row.tolist() == [label[i] if m[i].any() else -1 for i in range(30)]
+        assert col.tolist() == [label[30 + j] if m[:, j].any() else -1 for j in range(25)]
+
+
+def test_a_dense_cell_in_many_parts(spark, monkeypatch):
+    """One cell holds nearly everything, and its chunks meet in groups."""
+    monkeypatch.setattr(D, "CHUNK", 16)
+    monkeypatch.setattr(D, "TOGETHER", 2)
+    r = np.random.default_rng(9)
+    x = np.concatenate([np.array([3.0] * 8) + r.standard_normal((300, 8)), r.standard_normal((40, 8))])
+    n, lab = brute_links(x)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {q["vec_id"]: q for q in D.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), codewords=2, recall=1.0).collect()}
+    assert [got[i]["n_links"] for i in range(340)] == n.tolist() and [got[i]["component_id"] for i in range(340)] == lab.tolist()
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (4, [-1.0, 0.0])]
+    got = sorted(map(tuple, D.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).select("vec_id", "n_links", "component_id").collect()))
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
 
 
 def test_dedup_recall_beside_copies(spark):

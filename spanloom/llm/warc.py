@@ -3,7 +3,8 @@
 Archives hold one gzip member per record, so any record can be read by its byte range. The index is sorted by
 reversed-host URL keys ("com,example,www)/path"): its lines lie in compressed blocks of fixed line count, each
 part of the index has a sparse directory of its blocks' first keys, and the parts' first keys are the level
-above. A look-up is a binary search of parts, of a directory and of one block, then one range read.
+above; a key is followed by the page id at each level. A look-up is a binary search of parts, of a directory and of
+one block, then one range read.
 
 Files go to the shared folder through ``pyarrow.fs`` (local and remote stores alike), under a name of their own
 for each task attempt; only files that a finished task has reported are ever read.
@@ -15,16 +16,16 @@ import base64
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, slices, small_batches
+from .common import drop_tables, fresh_path, materialise, slices, small_batches
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -33,7 +34,10 @@ ROLL = 1 << 30
 LOOKUPS = 5000  # in a task
 PIECE = 200  # index lines that one task reads the records of
 OPEN_FILES = 64
-BROADCAST_ROWS = 100_000  # of 16 bytes each
+DIRECTORIES = 8  # that a reader keeps
+BROADCAST_ROWS = 100_000  # revisits, of some 60 bytes each
+SALTS = 64  # tasks over which the copies of one payload are dealt
+NO_ID = -(1 << 63) - 1  # before all page ids
 
 
 def surt(url: str | None) -> str:
@@ -126,7 +130,7 @@ def _write(folder: str):
 
 
 def _write_index(folder: str):
-    """Writes a sorted partition as one part of the index: blocks, then their directory; returns (first key, name)."""
+    """Writes a sorted partition as one part of the index: blocks, then their directory; returns (first key and page id, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
@@ -135,7 +139,7 @@ def _write_index(folder: str):
 
         def flush(out) -> int:
             block = zlib.compress("\n".join(lines).encode(), 6)
-            directory.append(f"{lines[0].rsplit(' ', 4)[0]} {at} {len(block)}")
+            directory.append(f"{lines[0].rsplit(' ', 3)[0]} {at} {len(block)}")
             out.write(block)
             lines.clear()
             return at + len(block)
@@ -144,8 +148,8 @@ def _write_index(folder: str):
             for batch in batches:
                 for key, page, file, a, n in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id", "file", "at", "size"))):
                     key = clean(key).replace(" ", "%20")
-                    first = key if first is None else first
                     lines.append(f"{key} {'' if page is None else page} {file} {a} {n}")
+                    first = first or lines[0].rsplit(" ", 3)[0]
                     if len(lines) == LINES:
                         at = flush(out)
             if lines:
@@ -158,15 +162,21 @@ def _write_index(folder: str):
     return run
 
 
+def place(text: str) -> tuple[str, int]:
+    """(key, page id) of "key id"."""
+    key, page = text.rsplit(" ", 1)
+    return key, int(page) if page else NO_ID
+
+
 class CaptureIndex:
     """Look-ups in an index written by ``write_archives``: (key, page id) to record, by binary searches and range reads."""
 
     def __init__(self, folder: str, parts: list[tuple[str, str]], archives: str):
         self.folder, self.archives = folder, archives
-        self.parts = sorted(parts)
-        self.firsts = [p[0] for p in self.parts]
-        self.directories: dict[str, list[tuple[str, int, int]]] = {}
-        self.block: tuple[tuple, list[list[str]]] = ((), [])
+        parts = sorted((place(first), name) for first, name in parts)
+        self.firsts, self.names = [p[0] for p in parts], [p[1] for p in parts]
+        self.directories: dict[str, tuple[list[tuple[str, int]], list[tuple[int, int]]]] = {}
+        self.block: tuple[tuple, list[tuple]] = ((), [])
 
     @staticmethod
     def _read(uri: str, at: int = 0, size: int | None = None) -> bytes:
@@ -175,43 +185,51 @@ class CaptureIndex:
             f.seek(at)
             return f.read() if size is None else f.read(size)
 
-    def captures(self, key: str) -> Iterator[tuple[str, str, int, int]]:
-        """(page id, file, offset, size) of all captures of a key, in index order."""
+    def directory(self, name: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+        """The blocks of a part: their first places, and where they lie."""
+        if name not in self.directories:
+            while len(self.directories) >= DIRECTORIES:
+                self.directories.pop(next(iter(self.directories)))
+            lines = [x.rsplit(" ", 2) for x in self._read(f"{self.folder}/{name}.directory").decode().split("\n")]
+            self.directories[name] = [place(x[0]) for x in lines], [(int(a), int(n)) for _, a, n in lines]
+        return self.directories[name]
+
+    def entries(self, name: str, at: int, size: int) -> list[tuple[str, int, str, int, int]]:
+        """(key, page id, file, offset, size) of a block's captures."""
+        if self.block[0] != (name, at):
+            lines = (x.split(" ") for x in zlib.decompress(self._read(f"{self.folder}/{name}.blocks", at, size)).decode().split("\n"))
+            self.block = ((name, at), [(k, int(p) if p else NO_ID, f, int(a), int(n)) for k, p, f, a, n in lines])
+        return self.block[1]
+
+    def since(self, wanted: tuple[str, int]) -> Iterator[tuple[str, int, str, int, int]]:
+        """All captures from a place on, in index order."""
+        i = max(0, bisect_left(self.firsts, wanted) - 1)
+        for name in self.names[i:]:
+            firsts, blocks = self.directory(name)
+            for at, size in blocks[max(0, bisect_left(firsts, wanted) - 1) :]:
+                found = self.entries(name, at, size)
+                yield from found[bisect_left(found, wanted) :]
+
+    def captures(self, key: str, page_id: int | None = None) -> Iterator[tuple[str, int, str, int, int]]:
+        """The captures of a key, or of one page under it."""
         key = clean(key).replace(" ", "%20")
-        for i in range(max(0, bisect_right([f for f in self.firsts if f < key] or [""], key) - 1), len(self.parts)):
-            if self.firsts[i] > key:
+        for x in self.since((key, NO_ID if page_id is None else page_id)):
+            if x[0] != key or page_id is not None and x[1] != page_id:
                 return
-            name = self.parts[i][1]
-            if name not in self.directories:
-                text = self._read(f"{self.folder}/{name}.directory").decode()
-                self.directories[name] = [(k, int(a), int(n)) for k, a, n in (x.rsplit(" ", 2) for x in text.split("\n"))]
-            directory = self.directories[name]
-            lo = bisect_right([d[0] for d in directory if d[0] < key], key)
-            for first, at, size in directory[max(0, lo - 1) :]:
-                if first > key:
-                    return
-                if self.block[0] != (name, at):
-                    self.block = ((name, at), [x.split(" ") for x in zlib.decompress(self._read(f"{self.folder}/{name}.blocks", at, size)).decode().split("\n")])
-                lines = self.block[1]
-                for line in lines[bisect_right(lines, [key]) :]:
-                    if line[0] != key:
-                        break
-                    yield line[1], line[2], int(line[3]), int(line[4])
+            yield x
 
     def read(self, key: str, page_id: int) -> tuple[dict[str, str], bytes] | None:
         """Headers and payload of one capture; None if there is none."""
-        for page, file, at, size in self.captures(key):
-            if page == str(page_id):
-                return parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
+        for _, _, file, at, size in self.captures(key, page_id):
+            return parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
         return None
 
     def responses(self, key: str, page_id: int) -> Iterator[tuple[str, int]]:
         """(digest, payload size) of each response of a page under a key."""
-        for page, file, at, size in self.captures(key):
-            if page == str(page_id):
-                head, payload = parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
-                if head["warc-type"] == "response":
-                    yield base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(), len(payload)
+        for _, _, file, at, size in self.captures(key, page_id):
+            head, payload = parse(zlib.decompress(self._read(f"{self.archives}/{file}", at, size), 31))
+            if head["warc-type"] == "response":
+                yield base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(), len(payload)
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> dict:
@@ -220,7 +238,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     Of rows with equal payloads of at least ``least`` bytes, the one with the largest id is a response and the
     others revisit it; all others are responses. Null html is an empty payload, null urls have no target
     header and the empty key, rows with a null id get an id-less response. Each row goes by its own payload, also
-    where rows of different payloads repeat an id; those that repeat the response's id are responses too.
+    where rows of different payloads repeat an id; those that repeat the response's id are responses too. A page of any
+    length is one record, held in memory as a whole. Other columns are ignored, whatever their names.
     An empty table gives no files.
     """
     spark = pages.sparkSession
@@ -228,17 +247,20 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     body = F.coalesce("html", F.lit(""))
     light = pages.select("page_id", F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n")).where(F.col("n") >= least)
-    light = materialise(light, "digests")
-    chosen = light.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    revisits = light.join(chosen, ["sha", "n"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "sha", "n", "refers_to").distinct()
+    light = materialise(light.withColumn("s", F.pmod(F.xxhash64("page_id"), F.lit(SALTS))), "digests")
+    # the copies of one payload are counted, and told their response, in parts
+    whole = Window.partitionBy("sha", "n")
+    chosen = light.groupBy("sha", "n", "s").agg(F.max("page_id").alias("m"), F.count("*").alias("c")).select("sha", "n", "s", F.max("m").over(whole).alias("refers_to"), F.sum("c").over(whole).alias("c")).where("c > 1")
+    revisits = light.join(chosen.drop("c"), ["sha", "n", "s"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "sha", "n", "refers_to").distinct()
     revisits = materialise(revisits, "revisits")
-    # a short list of revisits spares the pages a shuffle; a long one is joined by sorting
-    known = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
+    drop_tables(light)
     folder, index = fresh_path(spark, "warc"), fresh_path(spark, "cdx")
     own = pages.where("page_id is not null").withColumns({"sha": F.sha1(body.cast("binary")), "n": F.octet_length(body)})
+    # up to a proven size the list of revisits spares the pages a shuffle; beyond it the join is by sorting, with the same rows
+    known = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     rows = own.join(known, ["page_id", "sha", "n"], "left").select("page_id", "url", "html", "refers_to").unionByName(pages.where("page_id is null").withColumn("refers_to", F.lit(None).cast("bigint")))
     lines = materialise(rows.select("page_id", "url", "html", "refers_to").mapInArrow(_write(folder), "key string, page_id bigint, file string, at bigint, size bigint, revisit boolean"), "captures")
-    ordered = lines.select("key", "page_id", "file", "at", "size").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
+    ordered = lines.select("key", "page_id", "file", "at", "size").repartitionByRange("key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
     parts = materialise(ordered.mapInArrow(_write_index(index), "first string, name string"), "parts")
     return {"archives": folder, "index": index, "lines": lines, "parts": parts, "revisits": revisits}
 
@@ -325,7 +347,12 @@ def read_archives(written: dict) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.int64()))], ["target", "digest", "bytes"])
 
-    ordered = keys.repartitionByRange(max(1, -(-targets.count() // LOOKUPS)), "key").sortWithinPartitions("key")
+    ordered = keys.repartitionByRange(max(1, -(-targets.count() // LOOKUPS)), "key", "page_id").sortWithinPartitions("key", "page_id")
     known = ordered.mapInArrow(sizes, "target bigint, digest string, bytes bigint").groupBy("target", "digest").agg(F.max("bytes").alias("bytes"))
-    out = back.join(known, (back["refers_to"] == known["target"]) & (back["payload_digest"] == known["digest"]), "left")
+    # a response with very many revisits is told to them in parts
+    part = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("s")
+    asked = written["revisits"].select(F.col("refers_to").alias("target"), F.col("sha").alias("digest"), part).distinct()
+    known = asked.join(known, ["target", "digest"])
+    back = back.select("*", part)
+    out = back.join(known, (back["refers_to"] == known["target"]) & (back["payload_digest"] == known["digest"]) & (back["s"] == known["s"]), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -98,13 +98,44 @@ def test_reading_goes_through_the_index(spark, monkeypatch):
     assert W.read_archives(written).count() == len(everything)
 
 
-@pytest.mark.parametrize("most", [0, 100_000])
-def test_repeated_ids_with_different_payloads(spark, monkeypatch, most):
+@pytest.mark.parametrize("salts, most", [(1, 0), (64, 0), (64, 100_000)])
+def test_repeated_ids_with_different_payloads(spark, monkeypatch, salts, most):
     """Id 3 revisits 9 by one payload only, and 9 has another payload, of another size, besides."""
     monkeypatch.setattr(W, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(W, "SALTS", salts)
     a, b, c = "a" * 1500, "b" * 2000, "c" * 3000
     rows = [(3, "http://a.com/", a), (3, "http://a.com/", b), (9, "http://a.com/", a), (9, "http://a.com/", c)]
     written = W.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     got = sorted(map(tuple, W.read_archives(written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
     want = [(i, len(x), hashlib.sha1(x.encode()).hexdigest(), "revisit" if r else "response", r) for i, x, r in ((3, a, 9), (3, b, None), (9, a, None), (9, c, None))]
     assert got == sorted(want, key=str)
+
+
+def test_captures_of_one_url(monkeypatch, tmp_path):
+    """Of 100,000 captures of one URL a look-up reads one block, whose place binary searches find."""
+    monkeypatch.setattr(W, "LINES", 500)
+    import pyarrow as pa
+
+    rows = [("com,one)/", i, "f", i, 1) for i in range(100_000)] + [("com,two)/", None, "f", 0, 1), ("com,two)/", 5, "f", 7, 1)]
+    parts = []
+    for k in range(0, len(rows), 30_000):
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 30_000])], ["key", "page_id", "file", "at", "size"])
+        parts += [(b.column("first")[0].as_py(), b.column("name")[0].as_py()) for b in W._write_index(str(tmp_path))(iter([batch]))]
+    index, read = W.CaptureIndex(str(tmp_path), parts, ""), []
+    plain = index.entries
+    monkeypatch.setattr(index, "entries", lambda *a: read.append(a) or plain(*a))
+    for page in (0, 1, 499, 500, 29_999, 30_000, 77_777, 99_999):
+        read.clear()
+        assert [x[3] for x in index.captures("com,one)/", page)] == [page] and len(read) <= 3
+    assert list(index.captures("com,one)/", 100_000)) == [] and [x[3] for x in index.captures("com,two)/")] == [0, 7]
+    assert sum(1 for _ in index.captures("com,one)/")) == 100_000
+
+
+def test_a_busy_payload_and_a_busy_url(spark):
+    """Hundreds of copies of one page under one URL: one response, all others revisit it."""
+    body = "y" * 1200
+    rows = [(i, "http://a.com/", body) for i in range(400)] + [(1000 + i, "http://a.com/", body + str(i)) for i in range(20)]
+    got = {r["page_id"]: tuple(r)[1:] for r in W.read_archives(W.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3))).collect()}
+    for i, _, html in rows:
+        first = i == 399 or i >= 1000
+        assert got[i] == (len(html), hashlib.sha1(html.encode()).hexdigest(), "response" if first else "revisit", None if first else 399)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_word, cosine, expand_abbreviations, link_score, stem_phrase
+from ..functions.text import contains_word, expand_abbreviations, link_score, stem_phrase
 
 
 def abbreviation_registry(rows: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
@@ -70,6 +70,28 @@ def with_retries(call: Callable, attempts: int = 5, pause: float = 0.0, fallback
     return run
 
 
+def remote_encode(df: DataFrame, text: str, call: Callable[[list[str]], np.ndarray], cache: DataFrame | None = None, batch: int = 100, attempts: int = 5, pause: float = 1.0, out: str = "vector") -> DataFrame:
+    """Vectors of distinct texts from a remote service: at most ``batch`` texts a call, calls tried again ``attempts`` times after a
+    pause that grows, texts of the ``cache`` (text, vector) not asked for. Returns (text, vector), which is the next cache.
+    """
+
+    def patient(texts: list[str]) -> np.ndarray:
+        for i in range(attempts):
+            try:
+                return np.asarray(call(texts))
+            except Exception:
+                if i + 1 == attempts:
+                    raise
+                time.sleep(pause * (i + 1))
+        raise ValueError("attempts must be positive")
+
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
+    if cache is None:
+        return encode(texts, text, patient, batch, out)
+    known = cache.select(text, F.col(out).cast("array<float>").alias(out))
+    return encode(texts.join(known, text, "left_anti"), text, patient, batch, out).unionByName(known.join(texts, text, "left_semi"))
+
+
 def generate(df: DataFrame, text: str, model: Callable[[str, int], str], tries: int = 5, out: str = "output") -> DataFrame:
     """A JSON list of strings from a model, called until its answer is one, at most ``tries`` times; else ``[]``.
 
@@ -104,24 +126,15 @@ def retry_summary(df: DataFrame, tries: str = "tries", output: str = "output", m
 
 
 def top_k_cosine(queries: DataFrame, terms: DataFrame, k: int = 10, query: str = "query_id", term: str = "term_id", vector: str = "vector") -> DataFrame:
-    """The k terms of greatest cosine for each query: (query, rank, term, distance).
-
-    Declarative form for vocabularies of bounded size (checked): the terms are broadcast only below ``LIMIT`` rows.
-    """
-    t = terms.select(F.col(term), F.col(vector).alias("__v"))
-    if t.limit(LIMIT + 1).count() <= LIMIT:
-        t = F.broadcast(t)
-    j = queries.select(F.col(query), F.col(vector).alias("__q")).join(t, F.lit(True))
-    d = j.select(query, term, (F.lit(1.0) - cosine(F.col("__q"), F.col("__v"))).alias("distance"))
-    w = Window.partitionBy(query).orderBy("distance", term)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, "rank", term, "distance")
-
-
-LIMIT = 50_000
+    """The k terms of greatest cosine for each query: (query, rank, term, distance); ties by term."""
+    return top_k_blocked(queries, terms, k, query, term, vector)
 
 
 def top_k_blocked(queries: DataFrame, terms: DataFrame, k: int = 10, query: str = "query_id", term: str = "term_id", vector: str = "vector", block: int = 4096) -> DataFrame:
-    """C14 by matrix products: blocks of queries meet blocks of terms on a block key; each meeting keeps k per query."""
+    """C14 by matrix products: blocks of queries meet blocks of terms on a block key; each meeting keeps k per query.
+
+    A zero vector has cosine 0, so distance 1, to all.
+    """
     n_blocks = max(1, -(-terms.count() // block))
 
     def packed(d: DataFrame, key: str, slots) -> DataFrame:
@@ -136,7 +149,7 @@ def top_k_blocked(queries: DataFrame, terms: DataFrame, k: int = 10, query: str
             for a, b in zip(pdf["q"], pdf["x"]):
                 qk, tk = (np.array([r["key"] for r in s]) for s in (a, b))
                 qv, tv = (np.array([r["v"] for r in s], np.float64) for s in (a, b))
-                qv, tv = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (qv, tv))
+                qv, tv = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (qv, tv))
                 d = 1.0 - qv @ tv.T
                 for i in range(len(qk)):
                     best = np.lexsort((tk, d[i]))[:k]

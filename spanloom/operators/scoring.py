@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .spans import interval_join
+from .spans import bucketed_interval_join, interval_join
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -67,17 +67,34 @@ def maximum_matching(edges: list[list[int]], n_right: int) -> int:
     return sum(v >= 0 for v in left)
 
 
-def optimal(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "passage_id") -> DataFrame:
-    """Scores of an optimal one-to-one matching of overlapping spans (of one type unless ``pool``).
+def _pair_counts(ref: DataFrame, pred: DataFrame, tp: DataFrame, by: list[str]) -> DataFrame:
+    """tp, fp, fn and scores from matched pairs and the sizes of both sides, in all or by columns."""
+    side = lambda d, r, p: d.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(0).cast("bigint").alias("tp"), (F.col("n") * r).alias("n_ref"), (F.col("n") * p).alias("n_pred"))
+    none = F.lit(0).cast("bigint")
+    parts = side(ref, 1, 0).unionByName(side(pred, 0, 1)).unionByName(tp.select(*by, F.col("tp").cast("bigint").alias("tp"), none.alias("n_ref"), none.alias("n_pred")))
+    c = parts.groupBy(*by).agg(*(F.coalesce(F.sum(x), none).alias(x) for x in ("tp", "n_ref", "n_pred")))
+    c = c.select(*by, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("tp")).alias("fn"))
+    return c.select(*by, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def optimal(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "passage_id", by: list[str] | None = None) -> DataFrame:
+    """Scores of an optimal one-to-one matching of overlapping spans (of one type unless ``pool``), in all or ``by`` columns.
 
     Rows are annotations: (key, type, locations), any pair of locations may overlap. The overlap graph is a join
-    in the JVM; only its edges (pairs of row numbers) go to Python, a connected passage at a time, where a
-    maximum matching is found. What no edge touches is counted in the JVM.
+    in the JVM, by position as well as passage; only its edges (pairs of row numbers) go to Python, a passage
+    and type at a time, where a maximum matching is found. What no edge touches is counted in the JVM.
     """
-    side = lambda d, s: d.select(key, "type", "locations", F.xxhash64(key, "type", "locations").alias(s)).withColumn(s, F.concat_ws(":", F.col(s), F.row_number().over(Window.partitionBy(key, "type", "locations").orderBy(F.lit(1)))))
-    spread = lambda d, s: d.select(key, "type", s, F.explode("locations").alias("x")).select(key, "type", s, F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.length")).alias("end"))
-    r, p = side(ref, "rid"), side(pred, "pid")
-    edges = interval_join(spread(r, "rid"), spread(p, "pid"), key, same_type=not pool).select(key, "rid", F.col("r_pid").alias("pid")).distinct()
+    by = by or []
+    inside = [*by, key, *([] if pool else ["type"])]  # spans of different values of these never meet
+
+    def numbered(d: DataFrame, name: str) -> DataFrame:
+        w = Window.partitionBy(*by, key, "type", "locations").orderBy("locations")
+        d = d.withColumn("__i", F.row_number().over(w)).withColumn(name, F.concat_ws(":", F.xxhash64("type", "locations"), F.hash("type", "locations"), "__i"))
+        x = d.select(*by, key, "type", name, F.explode("locations").alias("x"))
+        return x.select(*by, key, "type", name, F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.length")).alias("end"))
+
+    r, p = numbered(ref, "rid").withColumn("__g", F.struct(*inside)), numbered(pred, "pid").select(F.struct(*inside).alias("__g"), "pid", "start", "end")
+    edges = bucketed_interval_join(r, p, "__g").select("__g", *by, "rid", F.col("r_pid").alias("pid")).distinct()
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         a, _ = pd.factorize(pdf["rid"])
@@ -85,12 +102,10 @@ def optimal(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "pas
         graph: list[list[int]] = [[] for _ in range(a.max() + 1)]
         for x, y in zip(a.tolist(), b.tolist()):
             graph[x].append(y)
-        return pd.DataFrame({"tp": [maximum_matching(graph, len(names))]})
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "tp": [maximum_matching(graph, len(names))]})
 
-    tp = edges.groupBy(key).applyInPandas(match, "tp bigint").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
-    n = ref.agg(F.count("*").alias("n_ref")).join(F.broadcast(pred.agg(F.count("*").alias("n_pred"))))
-    out = tp.join(F.broadcast(n)).select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("tp")).alias("fn"))
-    return out.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    kinds = [f"`{c}` {ref.schema[c].dataType.simpleString()}" for c in by]
+    return _pair_counts(ref, pred, edges.groupBy("__g").applyInPandas(match, ", ".join([*kinds, "tp bigint"])), by)
 
 
 def greedy(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "passage_id") -> DataFrame:
@@ -106,10 +121,7 @@ def greedy(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "pass
                 taken.add(b)
         return pd.DataFrame({"tp": [len(used)]})
 
-    tp = edges.groupBy(key).applyInPandas(match, "tp bigint").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
-    n = ref.agg(F.count("*").alias("n_ref")).join(F.broadcast(pred.agg(F.count("*").alias("n_pred"))))
-    out = tp.join(F.broadcast(n)).select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_ref") - F.col("tp")).alias("fn"))
-    return out.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    return _pair_counts(ref, pred, edges.groupBy(key).applyInPandas(match, "tp bigint"), [])
 
 
 def _words(c: Column) -> Column:
@@ -129,18 +141,62 @@ def token_overlap(a: DataFrame, b: DataFrame, key: str = "passage_id") -> DataFr
     return one(a, b, "x").join(F.broadcast(one(b, a, "y"))).select(((F.col("x") + F.col("y")) / 2).alias("overlap"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ancestor_distances(parents: DataFrame) -> DataFrame:
+    """(id, anc, d): all ancestors with the least number of steps, each id being its own at 0. Rounds double the reach and end when nothing is new."""
+    ids = parents.select("id").unionByName(parents.select(F.col("parent").alias("id"))).distinct()
+    closure = ids.select("id", F.col("id").alias("anc"), F.lit(0).alias("d")).unionByName(parents.where("id <> parent").select("id", F.col("parent").alias("anc"), F.lit(1).alias("d")).distinct())
+    closure, before = _kept(closure, "distances"), None
+    while (now := closure.agg(F.count("*"), F.sum("d")).first()) != before:
+        before = now
+        up = closure.select(F.col("id").alias("anc"), F.col("anc").alias("up"), F.col("d").alias("e"))
+        far = closure.join(up, "anc").groupBy("id", F.col("up").alias("anc")).agg(F.min(F.col("d") + F.col("e")).alias("d"))
+        closure = _kept(far.select("id", "anc", "d"), "distances")
+    return closure
+
+
+def lowest_common_macro(ref: DataFrame, pred: DataFrame, parents: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """D18 by lowest common ancestors: macro averages over documents of scores on augmented id sets.
+
+    Each id of a document is paired with the nearest ids of the other side by way of their lowest common ancestors (the least
+    sum of steps, ties all); both sides get the ids on the shortest ways up to those ancestors. Ids that share no ancestor
+    stay as they are, so far roots add nothing.
+    """
+    steps = ancestor_distances(parents)
+    a, b = (d.select(doc, F.col("id").alias(n)).distinct() for d, n in ((ref, "r"), (pred, "p")))
+    up = lambda n, d: steps.select(F.col("id").alias(n), F.col("anc").alias("l"), F.col("d").alias(d))
+    meet = a.join(b, doc).join(up("r", "dr"), "r").join(up("p", "dp"), ["p", "l"]).withColumn("s", F.col("dr") + F.col("dp"))
+    pairs = _kept(meet.select(doc, "r", "p", "l", "dr", "dp", "s"), "meetings")
+    near = lambda n: pairs.withColumn("m", F.min("s").over(Window.partitionBy(doc, n))).where("s = m").select(doc, "r", "p", "l", "dr", "dp")
+    best = near("r").unionByName(near("p")).distinct()
+
+    def grown(side: DataFrame, n: str, d: str) -> DataFrame:
+        first = steps.select(F.col("id").alias(n), F.col("anc").alias("x"), F.col("d").alias("d1"))
+        rest = steps.select(F.col("id").alias("x"), F.col("anc").alias("l"), F.col("d").alias("d2"))
+        way = best.select(doc, n, "l", d).distinct().join(first, n).join(rest, ["x", "l"]).where(F.col("d1") + F.col("d2") == F.col(d))
+        return side.select(doc, F.col(n).alias("id")).unionByName(way.select(doc, F.col("x").alias("id"))).distinct()
+
+    return _macro(matched(grown(a, "r", "dr"), grown(b, "p", "dp"), [doc, "id"]), doc)
+
+
+def _macro(m: DataFrame, doc: str) -> DataFrame:
+    per = m.groupBy(doc).agg(F.sum(F.col("in_ref") * F.col("in_pred")).alias("tp"), F.sum((1 - F.col("in_ref")) * F.col("in_pred")).alias("fp"), F.sum(F.col("in_ref") * (1 - F.col("in_pred"))).alias("fn"))
+    return per.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+
+
 def augmented_macro(ref: DataFrame, pred: DataFrame, parents: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Macro averages over documents of scores on id sets that are closed under ancestors.
+    """Macro averages over documents of scores on id sets that are closed under all ancestors (D18 by lowest common ones: ``lowest_common_macro``).
 
     ``parents`` is (id, parent). Each round joins the closure with itself, which doubles the levels it reaches, and
     writes it to the shared folder; the rounds end when nothing is new, however deep the ids lie, cycles included.
     """
-    spark = parents.sparkSession
-
     def kept(df: DataFrame) -> tuple[DataFrame, int]:
-        path = scratch(spark, "closure")
-        df.write.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
+        out = _kept(df, "closure")
         return out, out.count()
 
     (closure, n), before = kept(parents.select("id", F.col("parent").alias("anc")).distinct()), -1
@@ -149,9 +205,7 @@ def augmented_macro(ref: DataFrame, pred: DataFrame, parents: DataFrame, doc: st
         up = closure.select(F.col("id").alias("anc"), F.col("anc").alias("up"))
         closure, n = kept(closure.unionByName(closure.join(up, "anc").select("id", F.col("up").alias("anc"))).distinct())
     grow = lambda d: d.select(doc, "id").unionByName(d.join(closure, "id").select(doc, F.col("anc").alias("id"))).distinct()
-    m = matched(grow(ref), grow(pred), [doc, "id"])
-    per = m.groupBy(doc).agg(F.sum(F.col("in_ref") * F.col("in_pred")).alias("tp"), F.sum((1 - F.col("in_ref")) * F.col("in_pred")).alias("fp"), F.sum(F.col("in_ref") * (1 - F.col("in_pred"))).alias("fn"))
-    return per.select(*prf(F.col("tp"), F.col("fp"), F.col("fn"))).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
+    return _macro(matched(grow(ref), grow(pred), [doc, "id"]), doc)
 
 
 def at_k(gold: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10), keys: list[str] | None = None, mention: str = "mention") -> DataFrame:
@@ -171,19 +225,37 @@ def at_k(gold: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (1, 5, 10), k
     return rows.select("k", "tp", "n_pred", "n_gold", *prf(F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_gold") - F.col("tp")))
 
 
-def roc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The points of the ROC curve, by falling score. Ties share a point. The window goes over distinct scores."""
+def _falling(df: DataFrame, label: str, score: str, parts: int) -> DataFrame:
+    """(score, pos, neg, tp, fp): counts at each distinct score, and at it and all greater ones.
+
+    Scores are dealt by quantiles into at most ``parts`` ranges; sums run within a range, and start from the sum of the greater ranges.
+    """
     per = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = per.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    return per.join(F.broadcast(tot)).select("score", F.try_divide(F.sum("pos").over(w), F.col("all_pos")).alias("tpr"), F.try_divide(F.sum("neg").over(w), F.col("all_neg")).alias("fpr"))
+    cuts = sorted(set(per.select(F.col("score").cast("double").alias("s")).approxQuantile("s", [i / parts for i in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score")))
+    per = per.withColumn("__r", at)
+    up = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
+    start = per.groupBy("__r").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    start = start.select("__r", *(F.coalesce(F.sum(c).over(up), F.lit(0)).alias(c) for c in ("__p", "__n")))  # one row a range
+    w = Window.partitionBy("__r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return per.join(F.broadcast(start), "__r").select("score", "pos", "neg", (F.col("__p") + F.sum("pos").over(w)).alias("tp"), (F.col("__n") + F.sum("neg").over(w)).alias("fp"))
+
+
+def _totals(df: DataFrame, label: str) -> DataFrame:
+    return F.broadcast(df.agg(F.count_if(F.col(label) == 1).alias("all_pos"), F.count_if(F.col(label) != 1).alias("all_neg")))
+
 
+def roc(df: DataFrame, label: str, score: str, parts: int = 64) -> DataFrame:
+    """The points of the ROC curve, by falling score. Ties share a point."""
+    points = _falling(df, label, score, parts).join(_totals(df.where(F.col(label).isNotNull()), label))
+    return points.select("score", F.try_divide("tp", "all_pos").alias("tpr"), F.try_divide("fp", "all_neg").alias("fpr"))
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """The area under the curve by trapezoids; null with one class only."""
-    w = Window.orderBy(F.desc("score"))
-    pts = roc(df, label, score).select("tpr", "fpr", F.lag("tpr", 1, 0.0).over(w).alias("t0"), F.lag("fpr", 1, 0.0).over(w).alias("f0"))
-    return pts.agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("auc"))
+
+def auc(df: DataFrame, label: str, score: str, parts: int = 64) -> DataFrame:
+    """The area under the curve by trapezoids; null with one class only. A point's step is its own counts, so no row needs the one before."""
+    points = _falling(df, label, score, parts)
+    area = points.agg(F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos"))).alias("a"))
+    return area.join(_totals(df.where(F.col(label).isNotNull()), label)).select(F.try_divide(F.col("a").cast("double"), 2.0 * F.col("all_pos") * F.col("all_neg")).alias("auc"))
 
 
 def score_matrix(ref: DataFrame, pred: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
@@ -193,6 +265,11 @@ def score_matrix(ref: DataFrame, pred: DataFrame, keys: list[str], groups: list[
     return c.select(*groups, "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def approx_matrix(ref: DataFrame, pred: DataFrame, groups: list[str], pool: bool = False) -> DataFrame:
+    """Scores of an optimal matching in every group (model, corpus ...) in one job."""
+    return optimal(ref, pred, pool, by=groups)
+
+
 def evaluate(ref: DataFrame, pred: DataFrame, evaluation: str = "span", method: str = "strict", types: list[str] | None = None, pool: bool = False) -> DataFrame:
     """Routes a metric. ``strict`` for span, identifier and span_identifier rows; ``approx`` for spans only."""
     if types is not None:

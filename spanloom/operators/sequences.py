@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 from .spans import interval_join
 
 
@@ -39,12 +41,18 @@ def chunks(df: DataFrame, arrays: list[str], keys: list[str], size: int = 96) ->
 
 
 def numbered(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
-    """running ids from 0 in an order, without a single-partition window: counts per range partition, then offsets."""
+    """running ids from 0 in an order, without a single-partition window: counts per range partition, then offsets.
+
+    The rows with their range go through a table in the shared folder: dealt twice, they could fall into other ranges.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
+    ranged = ranged.withColumns({"__p": F.shiftright("__m", 33), "__m": F.col("__m") % F.lit(1 << 33)})
+    path = scratch(df.sparkSession, "numbered")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     at = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranged.groupBy(part.alias("__p")).agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(at), F.lit(0)))
-    return ranged.withColumn("__p", part).join(F.broadcast(base.select("__p", "__b")), "__p").withColumn(out, F.col("__b") + F.col("__m") % F.lit(1 << 33)).drop("__m", "__p", "__b")
+    base = ranged.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.coalesce(F.sum("__c").over(at), F.lit(0)))
+    return ranged.join(F.broadcast(base.select("__p", "__b")), "__p").withColumn(out, F.col("__b") + F.col("__m")).drop("__m", "__p", "__b")
 
 
 def bio_decode(tokens: DataFrame, key: list[str], order: str = "pos", label: str = "label") -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import phrase_hits
+
 
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Half-open overlap."""
@@ -98,3 +100,18 @@ def greedy_longest(spans: Column) -> Column:
     ordered = F.transform(F.array_sort(indexed), lambda y: y["x"])
     empty = F.slice(ordered, 1, 0)
     return F.aggregate(ordered, empty, lambda acc, x: F.when(F.exists(acc, lambda y: touch(y["start"], y["end"], x["start"], x["end"])), acc).otherwise(F.array_append(acc, x)))
+
+
+def place_mentions(passages: DataFrame, mentions: DataFrame, key: str = "passage_id") -> DataFrame:
+    """predicted mentions as spans of their passages: (key, type, start, end, text), none touching another.
+
+    ``passages`` has (key, offset, text), ``mentions`` (key, mention, type, ord). Every whole hit of a mention counts, those in
+    another case only where there is no exact one; then the longest come first, ties by ``ord`` and place. Null and empty
+    mentions have no hits; passages without hits give no rows.
+    """
+    text = F.col("__t")
+    p = passages.select(key, F.col("offset").alias("__o"), F.col("text").alias("__t"))
+    hit = F.transform(phrase_hits(text, F.col("mention")), lambda h: F.struct(F.col("ord").alias("ord"), h["start"].alias("start"), h["end"].alias("end"), F.col("type").alias("type"), F.substring(text, h["start"] + 1, h["end"] - h["start"]).alias("text")))
+    found = mentions.join(p, key).select(key, "__o", F.explode(hit).alias("h"))
+    kept = found.groupBy(key).agg(F.first("__o").alias("__o"), greedy_longest(F.array_sort(F.collect_list("h"))).alias("s"))
+    return kept.select(key, "__o", F.explode("s").alias("s")).select(key, "s.type", (F.col("s.start") + F.col("__o")).alias("start"), (F.col("s.end") + F.col("__o")).alias("end"), "s.text")

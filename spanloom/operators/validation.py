@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import grammar_parts
 from ..model import ENTITY_TYPES
-from .spans import encloses, overlap
+from ..session import scratch
+from .spans import bucketed_interval_join, encloses
 
 REPORT = ("severity", "file", "passage_id", "general", "specific")
 
@@ -47,50 +48,73 @@ def passage_status(passages: DataFrame, docids: DataFrame | None = None) -> Data
     return p.withColumn("stop", stop).drop("__pmid", "__pmc")
 
 
-def validate(passages: DataFrame, anns: DataFrame, ontology: DataFrame, docids: DataFrame | None = None) -> DataFrame:
-    """All rules H2-H19: rows (severity, file, passage_id, general, specific). ``ontology`` has a column ``id``."""
-    status = passage_status(passages, docids)
-    out = [_error(status.where("stop is not null"), F.col("stop"))]
-    good = status.where("stop is null").select("file", "passage_uid", "passage_id", F.col("offset").alias("p_offset"), F.col("text").alias("p_text"))
-    a = anns.join(good, "passage_uid")
-    w = Window.partitionBy("passage_uid", "locations", "text", "identifier", "type").orderBy("ann_idx")
-    out.append(_error(a.withColumn("__n", F.row_number().over(w)).where("__n > 1"), "H6: duplicate annotation", F.col("text")))
-    kind, ident = F.col("type"), F.col("identifier")
-    out.append(_error(a.where(kind.isNull()), "H7: annotation has no type", F.col("text")))
-    out.append(_error(a.where(~kind.isin(*ENTITY_TYPES)), "H7: unknown type", kind))
-    out.append(_error(a.where(ident.isNull()), "H8: annotation has no identifier", F.col("text")))
-    parts = a.where(ident.isNotNull()).select("file", "passage_id", F.explode(grammar_parts(ident)).alias("x")).select("file", "passage_id", "x.*")
-    known = F.col("qualifier").isin("(skos:exact)", "(skos:related)")
-    out.append(_error(parts.where(~F.coalesce(known, F.lit(False))), "H9: part has no exact or related qualifier", F.col("part")))
-    out.append(_error(parts.where((F.size("ids") > 1) & ~F.col("qualifier").eqNullSafe(F.lit("(skos:related)"))), "H10: several ids without related", F.col("part")))
-    ids = parts.select("file", "passage_id", F.explode("ids").alias("id"))
-    out.append(_error(ids.join(ontology.select("id").distinct(), "id", "left_anti"), "H11: id is not in the ontology", F.col("id")))
-    out.append(_error(a.where((kind == "cell_vague") & ~ident.eqNullSafe(F.lit("None"))), "H12: vague annotation with an identifier", ident))
-    n = F.size("locations")
-    out.append(_error(a.where(n != 1), "H13: not exactly one location", F.col("text")))
-    one = a.where(n >= 1).withColumn("start", F.col("locations")[0]["offset"]).withColumn("end", F.col("start") + F.col("locations")[0]["length"])
-    inside = (F.col("start") >= F.col("p_offset")) & (F.col("end") <= F.col("p_offset") + F.length("p_text"))
-    out.append(_error(one.where(~inside), "H14: span outside of the passage", F.col("text")))
-    there = F.substring(F.col("p_text"), F.col("start") - F.col("p_offset") + 1, F.col("end") - F.col("start"))
-    out.append(_error(one.where(inside & (there != F.col("text"))), "H15: text differs from the passage", F.concat_ws(" / ", "text", there)))
-    left = one.where(inside & (there == F.col("text")))
-    cols = ("ann_idx", "type", "text", "start", "end")
-    right = one.select(F.col("passage_uid").alias("__u"), *(F.col(c).alias(f"r_{c}") for c in cols))
-    ordered = (F.col("passage_uid") == F.col("__u")) & (F.col("ann_idx") < F.col("r_ann_idx"))
-    meet = overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+def _narrow(anns: DataFrame, passages: DataFrame) -> DataFrame:
+    """Annotations of sound passages with what the rules ask of the passage's text, without that text; a table in the shared folder.
+
+    Adds n (locations), start and end of the first, ``inside`` (within the passage) and ``there`` (what the passage says there).
+    """
+    p = passages.select("file", "passage_uid", "passage_id", F.col("offset").alias("__o"), F.col("text").alias("__t"))
+    first = F.try_element_at("locations", F.lit(1))
+    start, end = first["offset"], first["offset"] + first["length"]
+    inside = (start >= F.col("__o")) & (end <= F.col("__o") + F.length("__t"))
+    there = F.when(inside, F.substring(F.col("__t"), start - F.col("__o") + 1, end - start))
+    out = anns.join(p, "passage_uid").select("file", "passage_uid", "passage_id", "ann_idx", "type", "identifier", "text", "locations", F.size("locations").alias("n"), start.alias("start"), end.alias("end"), inside.alias("inside"), there.alias("there"))
+    path = scratch(anns.sparkSession, "validation")
+    out.write.parquet(path)
+    return anns.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def _own_errors(a: DataFrame) -> DataFrame:
+    """What one annotation alone shows, in one pass."""
+    kind, ident, text = F.col("type"), F.col("identifier"), F.col("text")
+    error = lambda when, general, specific: F.array(F.when(when, F.struct(F.lit(general).alias("g"), specific.alias("s"))))
+    each = lambda parts, when, general: F.transform(F.filter(parts, when), lambda x: F.struct(F.lit(general).alias("g"), x["part"].alias("s")))
+    parts = F.when(ident.isNotNull(), grammar_parts(ident)).otherwise(F.array().cast("array<struct<part:string,qualifier:string,ids:array<string>>>"))
+    known = lambda x: F.coalesce(x["qualifier"].isin("(skos:exact)", "(skos:related)"), F.lit(False))
+    found = F.concat(
+        error(kind.isNull(), "H7: annotation has no type", text),
+        error(~kind.isin(*ENTITY_TYPES), "H7: unknown type", kind),
+        error(ident.isNull(), "H8: annotation has no identifier", text),
+        each(parts, lambda x: ~known(x), "H9: part has no exact or related qualifier"),
+        each(parts, lambda x: (F.size(x["ids"]) > 1) & ~x["qualifier"].eqNullSafe(F.lit("(skos:related)")), "H10: several ids without related"),
+        error((kind == "cell_vague") & ~ident.eqNullSafe(F.lit("None")), "H12: vague annotation with an identifier", ident),
+        error(F.col("n") != 1, "H13: not exactly one location", text),
+        error((F.col("n") >= 1) & ~F.col("inside"), "H14: span outside of the passage", text),
+        error((F.col("n") >= 1) & F.col("inside") & (F.col("there") != text), "H15: text differs from the passage", F.concat_ws(" / ", text, "there")),
+    )
+    x = a.select("file", "passage_id", F.explode(F.array_compact(found)).alias("x"))
+    return _error(x, F.col("x.g"), F.col("x.s"))
+
+
+def _pair_errors(a: DataFrame) -> list[DataFrame]:
+    """Pairs of a passage, the earlier one sound; overlaps by position as well as passage, so that no long passage is one task."""
+    cols = ("file", "passage_uid", "passage_id", "ann_idx", "type", "text", "start", "end")
+    one = a.where("n >= 1")
+    left, right = one.where("inside and there = text").select(*cols), one.select("passage_uid", "ann_idx", "type", "text", "start", "end")
     v1, v2 = F.col("type") == "cell_vague", F.col("r_type") == "cell_vague"
-    mixed = v1 != v2
+    mixed, both = v1 != v2, F.concat_ws(" / ", "text", "r_text")
     whole = encloses(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) | encloses(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end"))
     vague = F.length(F.when(v1, F.col("text")).otherwise(F.col("r_text")))
-    both = F.concat_ws(" / ", "text", "r_text")
     tag = F.array_compact(F.array(
         F.when(~mixed, "H16: overlap"),
         F.when(mixed & ~whole, "H17: partial overlap of vague and other"),
         F.when(mixed & whole & (F.least(F.length("text"), F.length("r_text")) >= vague), "H18: the vague annotation is the inner one"),
     ))
-    found = left.join(right, ordered & meet).select("file", "passage_id", F.explode(tag).alias("g"), both.alias("s"))
-    out.append(_error(found, F.col("g"), F.col("s")))
+    meet = bucketed_interval_join(left, right, "passage_uid").where("ann_idx < r_ann_idx")
+    found = meet.select("file", "passage_id", F.explode(tag).alias("g"), both.alias("s"))
     # H19 asks for equal texts, not for overlap: an equi-join of its own, so that no passage is paired with itself as a whole
-    same = left.join(right, ordered & (F.col("text") == F.col("r_text")) & mixed)
-    out.append(_error(same, "H19: vague and other with the same text", both, "WARNING"))
+    r = right.select("passage_uid", "text", *(F.col(c).alias(f"r_{c}") for c in ("ann_idx", "type")))
+    same = left.join(r, ["passage_uid", "text"]).where((F.col("ann_idx") < F.col("r_ann_idx")) & mixed)
+    return [_error(found, F.col("g"), F.col("s")), _error(same, "H19: vague and other with the same text", F.concat_ws(" / ", "text", "text"), "WARNING")]
+
+
+def validate(passages: DataFrame, anns: DataFrame, ontology: DataFrame, docids: DataFrame | None = None) -> DataFrame:
+    """All rules H2-H19: rows (severity, file, passage_id, general, specific). ``ontology`` has a column ``id``."""
+    status = passage_status(passages, docids)
+    a = _narrow(anns, status.where("stop is null"))
+    w = Window.partitionBy("passage_uid", "locations", "text", "identifier", "type").orderBy("ann_idx")
+    again = a.withColumn("__n", F.row_number().over(w)).where("__n > 1")
+    ids = a.where("identifier is not null").select("file", "passage_id", F.explode(F.flatten(F.transform(grammar_parts(F.col("identifier")), lambda x: x["ids"]))).alias("id"))
+    unknown = ids.join(ontology.select("id").distinct(), "id", "left_anti")
+    out = [_error(status.where("stop is not null"), F.col("stop")), _own_errors(a), _error(again, "H6: duplicate annotation", F.col("text")), _error(unknown, "H11: id is not in the ontology", F.col("id")), *_pair_errors(a)]
     return reduce(DataFrame.unionByName, out)

@@ -11,7 +11,7 @@ from ..sources import annotated as A
 from ..sources import tables as T
 from ..streaming import growth
 from .derive import pred, ref, sql
-from .spans_pack import _tokens
+from .spans_pack import MATCHING, _tokens
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,3 +140,31 @@ def j(spark, d):
     stream = growth.read_batches(spark, src, "event_id bigint, ts timestamp, user_id bigint, event_type string")
     growth.run_available(growth.first_seen(stream, "ts", ["user_id", "event_type"], late="3650 days"), out, cp).awaitTermination()
     return spark.read.schema(e.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("d34_approx_dispatch", MATCHING)
+def d34a(spark, d):
+    """The approximate method through the dispatcher."""
+    loc = F.array(F.struct(F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")))
+    return scoring.evaluate(ref(spark, d).withColumn("locations", loc), pred(spark, d).withColumn("locations", loc), "span", "approx")
+
+
+@query("b21_cleared", "SELECT count(*)::BIGINT AS n_docs, 0::BIGINT AS n_annotations, count(*)::BIGINT AS n_passages FROM documents")
+def b21(spark, d):
+    docs = filters.clear_annotations(A.nest(*_flat(spark, d)).withColumn("file", F.lit("f")), relations=False)
+    sizes = F.aggregate("passage", F.lit(0), lambda a, p: a + F.coalesce(F.size(p["annotation"]), F.lit(0)))
+    return docs.agg(F.count("*").alias("n_docs"), F.sum(F.greatest(sizes, F.lit(0))).alias("n_annotations"), F.sum(F.size("passage")).alias("n_passages"))
+
+
+@query("j_windowed_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def jw(spark, d):
+    """Windowed counts of a stream, closed by a last event far ahead, add up to those of the batch."""
+    src, out, cp = (scratch(spark, f"windows-{x}") for x in ("in", "out", "checkpoint"))
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    last = spark.sql("SELECT timestamp'2999-01-01' AS ts, 'end' AS event_type")
+    e.write.parquet(src)
+    stream = growth.read_batches(spark, src, "ts timestamp, event_type string")
+    growth.run_available(growth.windowed_counts(stream, "ts", ["event_type"], late="3650 days"), out, cp).awaitTermination()
+    last.write.mode("append").parquet(src)
+    growth.run_available(growth.windowed_counts(stream, "ts", ["event_type"], late="3650 days"), out, cp).awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n bigint").parquet(out).where("event_type <> 'end'").groupBy("event_type").agg(F.sum("n").alias("n"))

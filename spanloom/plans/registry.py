@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with ``QUERIES`` and ``ORACLES``.
-PACKS = ("spans_pack", "stats_pack", "linking_pack", "io_pack")
+PACKS = ("spans_pack", "stats_pack", "linking_pack", "io_pack", "files_pack")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

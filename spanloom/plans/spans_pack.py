@@ -192,16 +192,33 @@ def _located(s):
     return s.withColumn("locations", F.array(F.struct(F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"))))
 
 
-@query("d14_optimal_matching")
+# Words of one text are disjoint, and so are predictions, five words apart: edges lie along a line, where taking each edge whose ends
+# both come after the last taken ones, in order of the earlier end, is optimal.
+WALK = """
+, e AS (SELECT {g} r.passage_id, r.type, r.s AS rs, p.s AS ps, row_number() OVER (PARTITION BY {k} r.passage_id, r.type ORDER BY p.s, r.s) AS i FROM r JOIN p ON r.passage_id = p.passage_id AND r.type = p.type AND r.s < p.e AND p.s < r.e),
+walk AS (SELECT {n} passage_id, type, i, rs AS lr, ps AS lp, 1 AS tp FROM e WHERE i = 1 UNION ALL
+  SELECT {m} w.passage_id, w.type, e.i, CASE WHEN e.rs > w.lr AND e.ps > w.lp THEN e.rs ELSE w.lr END, CASE WHEN e.rs > w.lr AND e.ps > w.lp THEN e.ps ELSE w.lp END, w.tp + (e.rs > w.lr AND e.ps > w.lp)::INT
+  FROM walk w JOIN e ON e.passage_id = w.passage_id AND e.type = w.type AND e.i = w.i + 1),
+best AS (SELECT {n} passage_id, type, max(tp) AS tp FROM walk GROUP BY ALL)"""
+MATCHING = sql(WALK.format(g="", k="", n="", m="") + f", c AS (SELECT (SELECT sum(tp) FROM best)::BIGINT AS tp, (SELECT count(*) FROM p) AS n_p, (SELECT count(*) FROM r) AS n_r), d AS (SELECT tp, n_p - tp AS fp, n_r - tp AS fn FROM c) SELECT tp, fp, fn, {PRF} FROM d").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("d14_optimal_matching", MATCHING)
 def d14(spark, d):
     return scoring.optimal(_located(ref(spark, d)), _located(pred(spark, d)))
 
 
-@query("d16_greedy_matching")
+@query("d16_greedy_matching", MATCHING)
 def d16(spark, d):
     return scoring.greedy(ref(spark, d), pred(spark, d))
 
 
+@query("g16_approx_matrix", sql(WALK.format(g="r.lang, r.source,", k="", n="lang, source,", m="w.lang, w.source,") + f", c AS (SELECT lang, source, sum(tp)::BIGINT AS tp, sum(n_p)::BIGINT AS n_p, sum(n_r)::BIGINT AS n_r FROM (SELECT lang, source, tp, 0 AS n_p, 0 AS n_r FROM best UNION ALL SELECT lang, source, 0, 1, 0 FROM p UNION ALL SELECT lang, source, 0, 0, 1 FROM r) GROUP BY 1, 2), d AS (SELECT lang, source, tp, n_p - tp AS fp, n_r - tp AS fn FROM c) SELECT lang, source, tp, fp, fn, {PRF} FROM d").replace("WITH ", "WITH RECURSIVE ", 1))
+def g16a(spark, d):
+    """The approximate half of the matrix."""
+    return scoring.approx_matrix(_located(ref(spark, d)), _located(pred(spark, d)), ["lang", "source"])
+
+
 @query("d17_token_overlap", sql("""
 , j AS (SELECT r.text, p.text AS t2, greatest(r.s, p.s) AS lo, least(r.e, p.e) AS hi, r.s AS rs, p.s AS ps FROM r JOIN p ON r.passage_id = p.passage_id AND r.type = p.type AND r.s < p.e AND p.s < r.e),
 n(t, c) AS (SELECT 'r', count(*) FROM r UNION ALL SELECT 'p', count(*) FROM p),
@@ -300,7 +317,11 @@ def f7(spark, d):
     return s.select("passage_id", F.explode(spans.greedy_longest(F.col("s"))).alias("x")).select("passage_id", "x.*")
 
 
-@query("d29_sequence_scores")
+OTHER = f"CASE WHEN pos % 11 = 0 THEN 'O' ELSE {LABELS} END"
+SPANS = "{x}0 AS (SELECT doc_id, pos, {l} AS label FROM w), {x}1 AS (SELECT *, left(label, 1) AS pr, nullif(substr(label, 3), '') AS ty, lag(label) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM {x}0), {x}2 AS (SELECT *, sum(CASE WHEN pr <> 'O' AND (pr = 'B' OR prev IS NULL OR prev = 'O' OR substr(prev, 3) <> ty) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM {x}1), {x} AS (SELECT doc_id, min(ty) AS type, min(pos) AS first, max(pos) AS last FROM {x}2 WHERE pr <> 'O' GROUP BY doc_id, grp)"
+
+
+@query("d29_sequence_scores", sql(", " + SPANS.format(x="gs", l=LABELS) + ", " + SPANS.format(x="os", l=OTHER) + f", m AS (SELECT doc_id, type, first, last, max(a) AS a, max(b) AS b FROM (SELECT *, 1 AS a, 0 AS b FROM gs UNION ALL SELECT *, 0, 1 FROM os) GROUP BY 1, 2, 3, 4), c AS (SELECT coalesce(type, 'Total') AS type, {COUNTS} FROM m GROUP BY ROLLUP (type)) SELECT type, tp, fp, fn, {PRF}, (SELECT avg((({LABELS}) = ({OTHER}))::INT) FROM w) AS accuracy FROM c"))
 def d29(spark, d):
     arr = _labelled(spark, d).withColumn("other", F.when(F.col("pos") % 11 == 0, "O").otherwise(F.col("label"))).groupBy("doc_id")
     arr = arr.agg(F.array_sort(F.collect_list(F.struct("pos", "label", "other"))).alias("x"))
@@ -358,3 +379,53 @@ def h(spark, d):
     anns = pred(spark, d).select(F.col("passage_id").cast("string").alias("passage_uid"), F.col("pos").alias("ann_idx"), "type", "identifier", "text", F.array(F.struct(F.col("start").cast("int").alias("offset"), (F.col("end") - F.col("start")).cast("int").alias("length"))).alias("locations"))
     onto = spark.range(40).select(F.concat(F.lit("CL:"), F.col("id").cast("string")).alias("id"))
     return validation.validate(pas, anns, onto).groupBy("severity", "general").agg(F.count("*").alias("n"))
+
+
+@query("h_all_rules", """WITH k AS (SELECT doc_id, doc_id % 20 AS c FROM documents),
+x(c, general, severity) AS (VALUES (0, 'H2: passage has no passage_id', 'ERROR'), (1, 'H3: passage has no pmid', 'ERROR'), (2, 'H4: passage_id does not start with the pmid', 'ERROR'), (3, 'H5: pmid and pmc do not match the document ids', 'ERROR'),
+(4, 'H6: duplicate annotation', 'ERROR'), (4, 'H16: overlap', 'ERROR'), (5, 'H7: annotation has no type', 'ERROR'), (6, 'H7: unknown type', 'ERROR'), (7, 'H8: annotation has no identifier', 'ERROR'), (8, 'H9: part has no exact or related qualifier', 'ERROR'), (9, 'H10: several ids without related', 'ERROR'),
+(10, 'H11: id is not in the ontology', 'ERROR'), (11, 'H12: vague annotation with an identifier', 'ERROR'), (12, 'H13: not exactly one location', 'ERROR'), (13, 'H13: not exactly one location', 'ERROR'), (14, 'H14: span outside of the passage', 'ERROR'), (15, 'H15: text differs from the passage', 'ERROR'), (16, 'H16: overlap', 'ERROR'),
+(17, 'H17: partial overlap of vague and other', 'ERROR'), (18, 'H18: the vague annotation is the inner one', 'ERROR'), (19, 'H18: the vague annotation is the inner one', 'ERROR'), (19, 'H19: vague and other with the same text', 'WARNING'))
+SELECT severity, general, count(*)::BIGINT AS n FROM k JOIN x USING (c) GROUP BY 1, 2 UNION ALL SELECT 'WARNING', 'not an XML file', count(*)::BIGINT FROM documents WHERE doc_id % 20 = 0""")
+def h_all(spark, d):
+    """Each document becomes a passage that breaks one rule, by the last digits of its id: every rule H1-H19 answers."""
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 20).alias("c"))
+    c, pmid, text = F.col("c"), F.col("doc_id").cast("string"), "abcdefghijklmnopqrst"
+    pas = docs.select(
+        F.lit("f.xml").alias("file"), pmid.alias("passage_uid"), F.when(c == 0, None).when(c == 2, F.concat(F.lit("x"), pmid)).otherwise(F.concat(pmid, F.lit("_1"))).alias("passage_id"),
+        F.when(c == 1, None).otherwise(pmid).alias("pmid"), F.when(c == 3, "PMC0").otherwise(F.concat(F.lit("PMC"), pmid)).alias("pmc"), F.lit(7).alias("offset"), F.lit(text).alias("text"),
+    )
+    good = ("cell_phenotype", "(skos:exact)CL:1")
+    at = lambda s, e: ((7 + s, e - s),)
+    cases = {
+        4: [(*good, text[0:3], at(0, 3)), (*good, text[0:3], at(0, 3))], 5: [(None, good[1], text[0:3], at(0, 3))], 6: [("odd", good[1], text[0:3], at(0, 3))], 7: [(good[0], None, text[0:3], at(0, 3))],
+        8: [(good[0], "CL:1", text[0:3], at(0, 3))], 9: [(good[0], "(skos:exact)CL:1,CL:2", text[0:3], at(0, 3))], 10: [(good[0], "(skos:exact)CL:77", text[0:3], at(0, 3))], 11: [("cell_vague", "(skos:exact)CL:1", text[0:3], at(0, 3))],
+        12: [(*good, text[0:3], ())], 13: [(*good, text[0:3], at(0, 3) + at(5, 6))], 14: [(*good, text[18:] + "zz", at(18, 22))], 15: [(*good, "zzz", at(0, 3))], 16: [(*good, text[0:5], at(0, 5)), (*good, text[3:8], at(3, 8))],
+        17: [("cell_vague", "None", text[0:5], at(0, 5)), (*good, text[3:8], at(3, 8))], 18: [(*good, text[0:9], at(0, 9)), ("cell_vague", "None", text[2:5], at(2, 5))], 19: [("cell_vague", "None", text[0:5], at(0, 5)), (*good, text[0:5], at(0, 5))],
+    }
+    kinds = "c int, ann_idx int, type string, identifier string, text string, locations array<struct<offset:int,length:int>>"
+    table_ = spark.createDataFrame([(k, i, *x[:3], list(x[3])) for k, v in cases.items() for i, x in enumerate(v)], kinds)
+    anns = docs.select(pmid.alias("passage_uid"), "c").join(F.broadcast(table_), "c").drop("c")
+    onto = spark.createDataFrame([("CL:1",), ("CL:2",)], "id string")
+    known = docs.select(pmid.alias("pmid"), F.concat(F.lit("PMC"), pmid).alias("pmc"))
+    files = docs.select(F.when(c == 0, F.concat(pmid, F.lit(".txt"))).otherwise(F.concat(pmid, F.lit(".XML"))).alias("path"))
+    errors = validation.validate(pas, anns, onto, known).unionByName(validation.file_warnings(files))
+    return errors.groupBy("severity", "general").agg(F.count("*").alias("n"))
+
+
+@query("f3_unchunked", "SELECT len(string_split(text, ' '))::INT AS size, count(*)::BIGINT AS n FROM documents GROUP BY 1")
+def f3(spark, d):
+    """the export without chunks: sequences stay whole, with running ids."""
+    t = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("tokens"))
+    return sequences.numbered(t, ["doc_id"]).select(F.size("tokens").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+@query("f6_place_mentions", sql(", m AS (SELECT DISTINCT passage_id, text FROM p WHERE length(text) >= 4 AND pos % 20 = 0 AND regexp_full_match(text, '[a-z]+')), h AS (SELECT m.passage_id, w.s, w.e, w.tok AS text FROM m JOIN w ON w.doc_id = m.passage_id AND w.tok = m.text) SELECT passage_id, count(*)::BIGINT AS n, sum(s)::BIGINT AS s, sum(e)::BIGINT AS e FROM h GROUP BY 1"))
+def f6(spark, d):
+    """F6 where mentions are lower-case words: every place of each word of its text, found anew, none touching another."""
+    from ..operators.spans import place_mentions
+
+    w = words(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: F.when(x["tok"].rlike("^[a-z]+$"), x["tok"]).otherwise(F.translate(F.regexp_replace(x["tok"], ".", "#"), " ", "#"))), " ").alias("text"))
+    docs = w.select(F.col("doc_id").alias("passage_id"), F.lit(0).alias("offset"), "text")
+    m = pred(spark, d).where("length(text) >= 4 and pos % 20 = 0 and text rlike '^[a-z]+$'").select("passage_id", F.col("text").alias("mention"), "type").groupBy("passage_id", "mention").agg(F.min("type").alias("type")).withColumn("ord", F.lit(0))
+    return place_mentions(docs, m).groupBy("passage_id").agg(F.count("*").alias("n"), F.sum("start").alias("s"), F.sum("end").alias("e"))

@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         base = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)

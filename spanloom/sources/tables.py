@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import s_stem, stem_phrase
+from ..functions.text import stem_phrase
 from ..model import METADATA
 
 
@@ -23,13 +23,18 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_abbreviations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, short, long, load_order) with a second row for the singular of both forms, and the malformed lines."""
+    """(doc_id, short, long, load_order), where both forms end in ``s`` with a second row without it, and the malformed lines."""
     rows = _lines(spark, path).withColumn("f", F.split("value", "\t")).withColumn("n", F.monotonically_increasing_id())
     good = rows.where(F.size("f") >= 3).select("n", *(F.col("f")[i].alias(c) for i, c in enumerate(("doc_id", "short", "long"))))
-    single = F.struct(s_stem(F.col("short")).alias("short"), s_stem(F.col("long")).alias("long"), F.lit(1).alias("k"))
-    both = good.select("doc_id", "n", F.explode(F.array(F.struct("short", "long", F.lit(0).alias("k")), single)).alias("x"))
-    out = both.select("doc_id", "x.short", "x.long", (F.col("n") * 2 + F.col("x.k")).alias("load_order")).groupBy("doc_id", "short", "long").agg(F.min("load_order").alias("load_order"))
-    return out, rows.where(F.size("f") < 3).select("value")
+    return with_singular(good), rows.where(F.size("f") < 3).select("value")
+
+
+def with_singular(rows: DataFrame) -> DataFrame:
+    """(doc_id, short, long, load_order) of rows (doc_id, short, long, n): where both forms end in ``s``, a second row has them without it."""
+    cut = lambda c: F.expr(f"left({c}, length({c}) - 1)").alias(c)
+    single = F.when(F.col("short").endswith("s") & F.col("long").endswith("s"), F.struct(cut("short"), cut("long"), F.lit(1).alias("k")))
+    both = rows.select("doc_id", "n", F.explode(F.array_compact(F.array(F.struct("short", "long", F.lit(0).alias("k")), single))).alias("x"))
+    return both.select("doc_id", "x.short", "x.long", (F.col("n") * 2 + F.col("x.k")).alias("load_order")).groupBy("doc_id", "short", "long").agg(F.min("load_order").alias("load_order"))
 
 
 def read_docids(spark: SparkSession, path: str) -> DataFrame:

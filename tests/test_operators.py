@@ -191,3 +191,51 @@ def test_ancestors_at_any_depth(spark):
     got = scoring.augmented_macro(ref, pred, parents).first()  # 0 has the ancestors 1 to 40
     assert got["precision"] == 1 and got["recall"] == pytest.approx(1 / 41)
     assert scoring.augmented_macro(ref, pred.withColumn("id", F.lit(90)), parents).first()["f1"] == 0
+
+
+def test_running_ids_survive_pruned_columns(spark):
+    df = spark.range(5000).selectExpr("id * 7 % 5000 AS k", "repeat('x', int(id % 50)) AS text").repartition(7)
+    n = sequences.numbered(df, ["k"])
+    assert n.select(F.length("text").alias("l")).count() == 5000 and n.where("id <> k").count() == 0
+
+
+def test_placed_mentions(spark):
+    p = spark.createDataFrame([("p", 10, "T cell and T cells, a t CELL; beta cell"), ("q", 0, None), ("r", 0, "Mast CELLS")], "passage_id string, offset int, text string")
+    m = spark.createDataFrame([("p", "T cell", "A", 0), ("p", "T cells", "B", 1), ("p", "cell", "A", 2), ("p", "CELL; beta", "B", 3), ("q", "x", "A", 0), ("r", "mast cells", "A", 0), ("r", None, "A", 1)], "passage_id string, mention string, type string, ord int")
+    got = sorted(map(tuple, spans.place_mentions(p, m).select("passage_id", "type", "start", "end", "text").collect()))
+    assert got == [("p", "A", 10, 16, "T cell"), ("p", "A", 45, 49, "cell"), ("p", "B", 21, 28, "T cells"), ("p", "B", 34, 44, "CELL; beta"), ("r", "A", 0, 10, "Mast CELLS")]
+
+
+def test_roc_in_ranges_equals_one_range(spark):
+    df = spark.range(3000).selectExpr("int(id % 3 = 0) AS y", "double(pmod(xxhash64(id), 500)) AS s")
+    one, many = (sorted(map(tuple, scoring.roc(df, "y", "s", parts=k).collect())) for k in (1, 16))
+    assert one == many and len(one) > 400 and one[0][1:] == (1, 1)
+    rows = df.collect()
+    pos, neg = [r["s"] for r in rows if r["y"]], [r["s"] for r in rows if not r["y"]]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    assert abs(scoring.auc(df, "y", "s", parts=16).first()["auc"] - want) < 1e-9
+    assert scoring.auc(df.where("y = 1"), "y", "s").first()["auc"] is None
+
+
+def test_lowest_common_ancestors(spark):
+    """Two leaves under one node gain that node only, not the root that all share."""
+    parents = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (10, 100), (11, 100), (50, 50)], "id bigint, parent bigint")
+    side = lambda *ids: spark.createDataFrame([(1, i) for i in ids], "doc_id int, id bigint")
+    got = scoring.lowest_common_macro(side(1), side(2), parents).first()
+    assert (got["precision"], got["recall"]) == (0.5, 0.5)  # {1, 10} and {2, 10}
+    got = scoring.lowest_common_macro(side(1, 3), side(1), parents).first()
+    assert (got["precision"], got["recall"]) == (pytest.approx(2 / 3), 0.5)  # 3 meets 1 at the root: {1, 3, 11, 100} and {1, 10, 100}
+    assert scoring.lowest_common_macro(side(50), side(1), parents).first()["f1"] == 0
+
+
+def test_zero_vectors_have_distance_one(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id int, vector array<float>")
+    got = sorted(map(tuple, linking.top_k_cosine(v.withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "term_id"), k=2).collect()))
+    assert got == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (2, 1, 2, 0.0), (2, 2, 1, 1.0)]
+
+
+def test_matching_by_groups(spark):
+    ref, pred = span_rows(spark, [("A", 0, 10), ("A", 0, 3)]), span_rows(spark, [("A", 0, 2), ("A", 8, 9), ("B", 20, 21)])
+    both = lambda d: d.withColumn("m", F.lit("x")).unionByName(d.withColumn("m", F.lit("y")))
+    got = {r["m"]: (r["tp"], r["fp"], r["fn"]) for r in scoring.approx_matrix(both(ref), both(pred).where("m = 'x' or start > 5"), ["m"]).collect()}
+    assert got == {"x": (2, 1, 0), "y": (1, 1, 1)}

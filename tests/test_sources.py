@@ -118,3 +118,17 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q = growth.run_available(growth.windowed_counts(stream, "ts", ["event_type"], late="60 days"), str(tmp_path / "w"), str(tmp_path / "cp2"))
     q.awaitTermination(120)
     assert q.exception() is None
+
+
+def test_batches_that_fail(spark):
+    spark.dataSource.register(A.BatchSource)
+    read = lambda **o: spark.read.format("annotated_batches").options(ids="a,b,c", batchsize="2", tries="2", fetch="tests.test_sources:broken", **o).load()
+    with pytest.raises(Exception, match="no answer after 2 tries"):
+        read().collect()
+    assert sorted(tuple(r) for r in read(onerror="null").collect()) == [("a", None), ("b", None), ("c", "<c/>")]
+
+
+def broken(ids):
+    if "a" in ids:
+        raise OSError("busy")
+    return [(i, f"<{i}/>") for i in ids]

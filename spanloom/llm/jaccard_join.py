@@ -353,11 +353,15 @@ def _first_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     leads = leads.select("t", "s", "c", F.explode(F.array_distinct(both)).alias("z")).select("t", "s", "c", "z.*")
     parts = leads.groupBy("lead").agg(F.ceil(F.sum("c") / SHARE).alias("parts"))  # a leader leads no more lists than it has prefix tokens
     leads = leads.join(parts, "lead").select("t", "lead", "m", "parts", each_part("s"))
-    star = posts.select("t", "id", "n", part_of("id", "s")).join(leads, ["t", "k"]).where(fits & (F.col("id") != F.col("lead"))).select("lead", "parts", "id").distinct()
-    side = lambda d, x: d.select(*(F.col(c).alias({"id": x}.get(c, f"{c}_{x}")) for c in d.columns if c != "level"))
-    led = parts.join(sets.withColumnRenamed("id", "lead"), "lead")
-    led = side(led.withColumnRenamed("lead", "id").select("id", "n", "tok", *(f"p{k}" for k in range(ORDERS)), each_part("parts")), "a").withColumnRenamed("k_a", "k")
-    pairs = star.select(F.col("lead").alias("a"), F.col("id").alias("b"), part_of("id", "parts"))
+    star = posts.select("t", "id", "n", part_of("id", "s")).join(leads, ["t", "k"]).where(fits & (F.col("id") != F.col("lead")))
+    # a pair of two leaders is verified once
+    star = star.groupBy(F.least("id", "lead").alias("lo"), F.greatest("id", "lead").alias("hi")).agg(F.min(F.struct("lead", "parts")).alias("z"))
+    pairs = star.select(F.col("z.lead").alias("a"), F.when(F.col("z.lead") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), F.col("z.parts").alias("parts"))
+    pairs = pairs.select("a", "b", part_of("b", "parts"))
+    held = ["n", "tok", *(f"p{k}" for k in range(1, ORDERS))]  # they share a token of p0
+    side = lambda d, x: d.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held))
+    led = sets.join(parts.select(F.col("lead").alias("id"), "parts"), "id")
+    led = led.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in held), each_part("parts"))
     return pairs.join(side(sets, "b"), "b").join(led, ["a", "k"]).mapInArrow(_verify(threshold), "a bigint, b bigint")
 
 

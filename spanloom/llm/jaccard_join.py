@@ -121,18 +121,33 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
                     for b in np.flatnonzero(np.diff(cut)):
                         x = rest[cut[b] : cut[b + 1]]
                         gap = np.diff((x >> U64(32)).astype(np.int64), prepend=0)
-                        narrow = np.min_scalar_type(gap.max())
                         span = slice(cut[b], cut[b + 1])
                         many = held[span][several[span]].astype(np.uint16).tobytes()
-                        rows.append((int(b), block, idx[span].tobytes(), gap.astype(narrow).tobytes(), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), many))
+                        rows.append((int(b), block, idx[span].tobytes(), packed_gaps(gap), (x & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), many))
                 rows.append((-1 - block % (1 << bits), block, meta.astype(META).tobytes(), *local))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["bucket", "block", "idx", "hi", "lo", "many"])
 
     return run
 
 
+def packed_gaps(gap: np.ndarray) -> bytes:
+    """Non-negative integers below 2**48 as bytes: one or two each, and eight more for each that needs more than two."""
+    if gap.max() < 256:
+        return gap.astype(np.uint8).tobytes()
+    over = np.flatnonzero(gap >> 16)
+    return (gap & 0xFFFF).astype(np.uint16).tobytes() + np.stack([over, gap[over] >> 16], 1).astype(np.uint32).tobytes()
+
+
+def unpacked_gaps(raw, n: int) -> np.ndarray:
+    if len(raw) == n:
+        return np.frombuffer(raw, np.uint8).astype(U64)
+    gap = np.frombuffer(raw, np.uint16, n).astype(U64)
+    over = np.frombuffer(raw, np.uint32, offset=2 * n).reshape(-1, 2)
+    gap[over[:, 0]] += over[:, 1].astype(U64) << U64(16)
+    return gap
+
+
 META = np.dtype([("id", "<i8"), ("n", "<i8"), ("a", "<i8"), ("b", "<i8"), ("rep", "<i8"), ("null", "?")])
-WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
 
 
 def _count(bits: int):
@@ -148,8 +163,7 @@ def _count(bits: int):
             toks, idxs, held = [], [], []
             for a, h, low, many in zip(*(table.column(c) for c in ("idx", "hi", "lo", "many"))):
                 idx, lo = np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(low.as_buffer(), np.uint32)
-                hb = h.as_buffer()
-                hi = np.cumsum(np.frombuffer(hb, WIDTHS[hb.size // len(lo)]), dtype=U64)
+                hi = np.cumsum(unpacked_gaps(h.as_buffer(), len(lo)), dtype=U64)
                 toks.append(U64(bucket) << U64(64 - bits) | hi << U64(32) | lo)
                 idxs.append(idx)
                 w = np.ones(len(idx), np.int64)
@@ -230,16 +244,23 @@ def _prefixes(threshold: int):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, id, n, s): the prefix tokens of each document; s is in how many parts the list of t is dealt, by how many hold it."""
+    """(t, id, n, s, c): the prefix tokens of each document; s is in how many parts the list of t is dealt, by how many hold it; c is the document's component."""
     for batch in batches:
-        cols = [[], [], [], []]
-        for i, n, v, p in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("level"), batch.column("p0")):
+        cols = [[], [], [], [], []]
+        for i, n, c, v, p in zip(*(batch.column(x).to_pylist() for x in ("id", "n", "c")), batch.column("level"), batch.column("p0")):
             t = np.frombuffer(p.as_buffer(), np.int64)
             parts = np.ceil(np.exp2(np.frombuffer(v.as_buffer(), np.uint8) / 8) / SHARE).astype(np.int64)
-            for c, x in zip(cols, (t, np.full(len(t), i), np.full(len(t), n), parts)):
-                c.append(x)
+            for col, x in zip(cols, (t, np.full(len(t), i), np.full(len(t), n), parts, np.full(len(t), c))):
+                col.append(x)
         if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["t", "id", "n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["t", "id", "n", "s", "c"])
+
+
+def postings(sets: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """A table of the lists of prefix tokens; documents without a label are components of their own."""
+    held = sets.select("id", "n", "level", "p0")
+    held = held.withColumn("c", F.col("id")) if label is None else held.join(label, "id", "left").withColumn("c", F.coalesce("component_id", "id"))
+    return materialise(held.mapInArrow(_postings, "t bigint, id bigint, n bigint, s bigint, c bigint"), "postings")
 
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
@@ -365,9 +386,8 @@ def _first_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     return pairs.join(side(sets, "b"), "b").join(led, ["a", "k"]).mapInArrow(_verify(threshold), "a bigint, b bigint")
 
 
-def _second_links(posts: DataFrame, sets: DataFrame, label: DataFrame, threshold: int) -> DataFrame:
+def _second_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between components of the first links, from lists of prefix tokens that hold several; a table."""
-    posts = posts.join(label, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
     mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("leader"), F.count("*").alias("held"), F.max("s").alias("s")).where("lo < hi")
     mixed = mixed.join(mixed.groupBy("leader").agg(F.ceil(F.sum("held") / SHARE).alias("parts")), "leader")
     groups = posts.select("t", "id", "n", "c", part_of("id", "s")).join(mixed.select("t", "leader", "parts", each_part("s")), ["t", "k"])
@@ -412,9 +432,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     sets = counted.groupBy("block").applyInArrow(_prefixes(threshold), schema)
     sets = materialise(sets.join(reps, "id", "left_semi"), "sets")
     drop_tables(counted)
-    posts = materialise(sets.select("id", "n", "level", "p0").mapInArrow(_postings, "t bigint, id bigint, n bigint, s bigint"), "postings")
+    posts = postings(sets)
     label = components(_first_links(posts, sets, threshold), src="a", dst="b")
-    second = _second_links(posts, sets, label, threshold)
+    drop_tables(posts)
+    posts = postings(sets, label)
+    second = _second_links(posts, sets, threshold)
     # links, classes and versions of one id together
     joined = label.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     label = components(joined.unionByName(second).unionByName(same), src="a", dst="b")

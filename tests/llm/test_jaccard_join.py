@@ -143,12 +143,19 @@ def test_tokens_come_back_whole_from_their_bucket(bits):
     hi, lo = (rest >> np.uint64(32)).astype(np.int64), (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     idx, many = np.full(len(tok), J.SEVERAL, np.uint16), np.full(len(tok), 16, np.uint16)
     kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-    row = (bucket, 7, idx.tobytes(), np.diff(hi, prepend=0).astype(np.uint32).tobytes(), lo.tobytes(), many.tobytes())
+    row = (bucket, 7, idx.tobytes(), J.packed_gaps(np.diff(hi, prepend=0)), lo.tobytes(), many.tobytes())
     out = J._count(bits)(pa.table([pa.array([v], t) for v, t in zip(row, kinds)], ["bucket", "block", "idx", "hi", "lo", "many"]))
     assert np.array_equal(np.sort(np.frombuffer(out.column("tok")[0].as_py(), np.uint64)), tok)
     assert set(out.column("level")[0].as_py()) == {32}  # 8 * log2(16)
 
 
+def test_gaps_of_any_size():
+    r = np.random.default_rng(5)
+    for high in (2, 256, 257, 65536, 65537, 1 << 30, 1 << 47):
+        gap = r.integers(0, high, 500)
+        assert (J.unpacked_gaps(J.packed_gaps(gap), 500).astype(np.int64) == gap).all()
+
+
 def test_large_ids_beside_null_ids(spark):
     """Ids that a float can't hold stay what they are where a batch has null ids too."""
     text = " ".join(f"g{i}" for i in range(30))

@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by multi-index hashing, for the largest inner product.
 
 Vectors get one more component that makes all norms equal, so that order by angle is order by inner product.
-Learned rotations (iterative quantisation on a bounded sample) turn them into binary codes, cut into 16-bit
+Learned rotations (iterative quantisation on a bounded sample) turn them into binary codes, cut into 128-bit
 substrings. A code within Hamming radius r of a query's agrees with it up to r/m bits in at least one of m
 substrings (pigeonhole), so probing all substring values that near in every index finds every such code;
 what is within the radius is reranked by exact inner products in double precision. The radius is learned:
 exact neighbours of some queries give the distance within which nearly all neighbours lie.
 
+Neighbours may lie at two fifths of the code length. Short substrings then reach nearly every row, so they are long, and
+the values that near are too many to list: an index compares the query's substring with each distinct value it holds.
+
 Rows are dealt by id hash into blocks of bounded size. A task reads a block, indexes its substrings once, and then
 takes the queries block by block; each meeting returns each query's best few, and the best of those are the answer.
 """
@@ -14,7 +17,6 @@ takes the queries block by block; each meeting returns each query's best few, an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,9 @@ from .common import materialise
 from .vectors import dimension, packed, sample, scaled
 
 BLOCK, QUERIES = 8192, 1024
-WIDE = 16
+WORDS = 2  # of 64 bits in a substring
 #: Blocks whose answers to a query meet first, where there are more.
 BLOCKS_AT_ONCE = 512
-POP = np.bitwise_count(np.arange(1 << WIDE, dtype=np.uint16))
 
 
 def learn_rotations(x: np.ndarray, bits: int, rounds: int = 20, seed: int = 9) -> np.ndarray:
@@ -53,52 +54,40 @@ def lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
 
 
 def codes(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """The code of each row as substrings of 16 bits."""
-    return np.packbits(x @ directions > 0, axis=1).view(np.uint16)
+    """The code of each row as words of 64 bits; whole substrings, filled up with zeros."""
+    bits = np.packbits(x @ directions > 0, axis=1)
+    return np.pad(bits, ((0, 0), (0, -bits.shape[1] % (8 * WORDS)))).view(np.uint64)
 
 
-@cache
-def masks(radius: int) -> np.ndarray:
-    """All substrings of at most ``radius`` ones."""
-    return np.flatnonzero(POP <= radius).astype(np.uint16) if radius >= 0 else np.empty(0, np.uint16)
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of words with those of ``b``."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
 class SubstringIndexes:
-    """For each substring of a block's codes, its rows by value."""
+    """For each substring of a block's codes, its distinct values and the rows that have them."""
 
     def __init__(self, c: np.ndarray):
-        self.codes = np.ascontiguousarray(c.T)
-        self.rows = [np.argsort(x, kind="stable") for x in self.codes]
-        self.values = [np.unique(x) for x in self.codes]
-        self.first = [np.append(np.searchsorted(x[r], v), len(x)) for x, r, v in zip(self.codes, self.rows, self.values)]
+        self.codes, self.parts = c, [c[:, j : j + WORDS] for j in range(0, c.shape[1], WORDS)]
+        self.rows = [np.lexsort(p.T) for p in self.parts]
+        new = [np.concatenate([[True], (p[r][1:] != p[r][:-1]).any(1)]) for p, r in zip(self.parts, self.rows)]
+        self.values = [np.ascontiguousarray(p[r[n]]) for p, r, n in zip(self.parts, self.rows, new)]
+        self.first = [np.append(np.flatnonzero(n), len(c)) for n in new]
         self.visited = 0
 
     def within(self, q: np.ndarray, radius: int) -> np.ndarray:
         """The rows whose code is within ``radius`` of the query code ``q``."""
-        m = len(q)
-        each, more = divmod(radius, m)
-        hit = np.zeros(self.codes.shape[1], bool)
-        for j in range(m):
-            near = each - (j > more)
-            if near < 0:
-                continue
-            values = self.values[j]
-            if len(masks(near)) <= len(values):  # probe each value that near
-                probe = masks(near) ^ q[j]
-                at = np.minimum(np.searchsorted(values, probe), len(values) - 1)
-                at = at[values[at] == probe]
-            else:  # fewer values are there than are that near
-                at = np.flatnonzero(POP[values ^ q[j]] <= near)
-            a, n = self.first[j][at], self.first[j][at + 1] - self.first[j][at]
-            total = np.cumsum(n)
-            if len(n):
-                hit[self.rows[j][np.arange(total[-1]) + np.repeat(a - (total - n), n)]] = True
+        each, more = divmod(radius, len(self.parts))
+        hit = np.zeros(len(self.codes), bool)
+        for j, values in enumerate(self.values):
+            at = np.flatnonzero(distances(values, q[j * WORDS : (j + 1) * WORDS]) <= each - (j > more))
+            if len(at):
+                n = self.first[j][at + 1] - self.first[j][at]
+                total = np.cumsum(n)
+                hit[self.rows[j][np.arange(total[-1]) + np.repeat(self.first[j][at] - (total - n), n)]] = True
         rows = np.flatnonzero(hit)
         self.visited += len(rows)
-        distance = np.zeros(len(rows), np.uint16)
-        for j in range(m):
-            distance += POP[self.codes[j, rows] ^ q[j]]
-        return rows[distance <= radius]
+        return rows[distances(self.codes[rows], q) <= radius]
 
 
 def _blocks(model: dict, query: bool):
@@ -133,7 +122,7 @@ def _search(model: dict, k: int, dim: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 slot = batch.column("slot")[i].as_py()
-                mine, vectors, c = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("ids", np.int64), ("x", np.float64), ("c", np.uint16)))
+                mine, vectors, c = (np.frombuffer(batch.column(n)[i].as_buffer(), t) for n, t in (("ids", np.int64), ("x", np.float64), ("c", np.uint64)))
                 vectors, c = vectors.reshape(len(mine), dim), c.reshape(len(mine), -1)
                 if not batch.column("query")[i].as_py():
                     ids, x, index, here = mine, vectors, SubstringIndexes(c), slot
@@ -144,8 +133,8 @@ def _search(model: dict, k: int, dim: int):
                 for q in range(len(mine)):
                     radius = model["radius"]
                     rows = index.within(c[q], radius)
-                    while len(rows) <= k and len(rows) < len(ids) and radius < WIDE * c.shape[1]:  # a block never offers fewer than k while it has them
-                        radius = min(2 * radius + 8, WIDE * c.shape[1])
+                    while len(rows) <= k and len(rows) < len(ids) and radius < 64 * c.shape[1]:  # a block never offers fewer than k while it has them
+                        radius = min(2 * radius + 8, 64 * c.shape[1])
                         rows = index.within(c[q], radius)
                     rows = rows[ids[rows] != mine[q]]
                     s = np.einsum("ij,j->i", x[rows], vectors[q])
@@ -165,7 +154,7 @@ def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([min(norm, np.finfo(float).max)])], ["n"])
 
 
-def fit(vectors: DataFrame, rows: int, k: int, bits: int = 128, most: int = 8192, probes: int = 64, recall: float = 0.98) -> dict:
+def fit(vectors: DataFrame, rows: int, k: int, bits: int = 256, most: int = 8192, probes: int = 64, recall: float = 0.98) -> dict:
     """Directions and radius from a bounded sample; the norm bound from all rows.
 
     The radius is the ``recall`` quantile of the code distances of ``probes`` sampled vectors to their exact
@@ -184,11 +173,11 @@ def fit(vectors: DataFrame, rows: int, k: int, bits: int = 128, most: int = 8192
         s = x @ q[i]
         s[i] = -np.inf
         top = np.argsort(-s, kind="stable")[:near]
-        far += POP[c[top] ^ qc[i]].sum(1, dtype=np.int64).tolist()
+        far += distances(c[top], qc[i]).tolist()
     return {"directions": directions, "norm": norm, "radius": int(np.quantile(far, recall)) if far else bits}
 
 
-def nearest(table: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 128) -> DataFrame:
+def nearest(table: DataFrame, query_mod: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id ``query_mod`` divides, its ``k`` nearest among all other rows.
 
     Nearness is the inner product in double precision, ties go to the smaller id; a query with fewer than ``k``

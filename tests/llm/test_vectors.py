@@ -46,23 +46,28 @@ def test_recall(spark, scale):
 
 def test_pigeonhole_misses_nothing():
     r = np.random.default_rng(2)
-    for n, high in ((500, 1 << 16), (3000, 1 << 5), (40, 1 << 16)):
-        c = r.integers(0, high, (n, 4)).astype(np.uint16)
+    for n, high in ((500, 1 << 62), (3000, 1 << 2), (40, 1 << 62)):
+        c = r.integers(0, high, (n, 4)).astype(np.uint64)
         index = A.SubstringIndexes(c)
-        for radius in (0, 2, 3, 7, 10, 16, 30, 64):
+        for radius in (0, 2, 3, 7, 40, 110, 128, 256):
             q = c[7]
-            assert index.within(q, radius).tolist() == np.flatnonzero(A.POP[c ^ q].sum(1) <= radius).tolist()
+            want = [i for i in range(n) if sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(c[i], q)) <= radius]
+            assert index.within(q, radius).tolist() == want
 
 
-def test_close_neighbours_are_found_by_few_probes():
-    """Where neighbours are close, probing reaches a small part of a block."""
+def test_probing_reaches_a_small_part_of_a_block():
+    """Both where neighbours are close and where they are as far as those of random vectors."""
     r = np.random.default_rng(3)
     x = r.standard_normal((4000, 64))
     x[1000:1020] = x[7] + 0.2 * r.standard_normal((20, 64))
-    rotations = A.learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), 128)
+    rotations = A.learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), 256)
     c = A.codes(x, rotations)
     index = A.SubstringIndexes(c)
-    assert set(range(1000, 1020)) <= set(index.within(c[7], 26)) and index.visited < 0.2 * len(x)
+    assert set(range(1000, 1020)) <= set(index.within(c[7], 52)) and index.visited < 0.02 * len(x)
+    index.visited = 0
+    for q in c[:50]:
+        index.within(q, 107)
+    assert index.visited < 0.2 * 50 * len(x)
 
 
 def test_one_id_with_two_vectors_and_huge_components(spark):

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):

@@ -132,3 +132,21 @@ def broken(ids):
     if "a" in ids:
         raise OSError("busy")
     return [(i, f"<{i}/>") for i in ids]
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    """Without a shared folder a cluster's run fails at once; local mode makes a folder of its own."""
+    from types import SimpleNamespace
+
+    from spanloom.session import scratch
+
+    def fake(master, folder=None):
+        settings = {"spark.checkpoint.dir": folder} if folder else {}
+        conf = SimpleNamespace(get=lambda k, d=None: settings.get(k, d), set=settings.__setitem__)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch(fake(master), "x")
+        assert scratch(fake(master, "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    assert scratch(fake("local[4]"), "x")

@@ -98,3 +98,14 @@ def test_decisions_by_brute_force(spark):
         if 1 / (1 + 2.718281828459045**-z) < 0.7:
             keep.add(i)
     assert {r["doc_id"] for r in C.toxic(spark, docs, SF).select("doc_id").collect()} == keep
+
+
+def test_driver_stays_flat(spark):
+    """The driver's Python holds neither texts nor training: repeated runs of one session leave it as large as it was."""
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+    sf = "/root/testdata/sf0.01"
+    C.run(spark, sf).count()
+    before = resident()
+    for _ in range(2):
+        assert C.run(spark, sf).count() > 0
+    assert resident() - before < 60

@@ -206,7 +206,16 @@ def ranked(tok: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
 
 
 def _prefixes(threshold: int):
-    """Documents whose prefix holds shared tokens: (id, n, level, tok, p0, p1, ...), blobs of sorted hashes; ``level`` goes with p0."""
+    """Documents whose prefix holds shared tokens: (id, n, level, p0, tok, m0, m1, ...).
+
+    ``tok`` holds the sorted shared tokens, and each mask a bit for each of them: whether it is in the prefix of that order.
+    ``p0`` and ``level`` give the tokens of the first prefix and their classes to the posting lists, which read nothing else.
+    """
+
+    def mask(at: np.ndarray, size: int) -> bytes:
+        bits = np.zeros(size, bool)
+        bits[at] = True
+        return np.packbits(bits).tobytes()
 
     def run(table: pa.Table) -> pa.Table:
         meta, idxs, toks, levels = None, [], [], []
@@ -235,10 +244,10 @@ def _prefixes(threshold: int):
                 take = n - -(-threshold * n // 100) + 1 - (n - m)
                 if take > 0:
                     t, v = tok[cut[i] : cut[i + 1]], level[cut[i] : cut[i + 1]]
-                    first = np.sort(ranked(t, v, 0)[:take])  # t is sorted
-                    rows.append((int(meta["id"][i]), n, v[first].tobytes(), t.tobytes(), t[first].tobytes(), *(np.sort(t[ranked(t, v, k)[:take]]).tobytes() for k in range(1, ORDERS))))
-        cols = list(zip(*rows)) or [[]] * (4 + ORDERS)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * (2 + ORDERS))], ["id", "n", "level", "tok", *(f"p{k}" for k in range(ORDERS))])
+                    at = [ranked(t, v, k)[:take] for k in range(ORDERS)]
+                    rows.append((int(meta["id"][i]), n, v[at[0]].tobytes(), t[at[0]].tobytes(), t.tobytes(), *(mask(x, len(t)) for x in at)))
+        cols = list(zip(*rows)) or [[]] * (5 + ORDERS)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64()] + [pa.binary()] * (3 + ORDERS))], ["id", "n", "level", "p0", "tok", *(f"m{k}" for k in range(ORDERS))])
 
     return run
 
@@ -263,6 +272,11 @@ def postings(sets: DataFrame, label: DataFrame | None = None) -> DataFrame:
     return materialise(held.mapInArrow(_postings, "t bigint, id bigint, n bigint, s bigint, c bigint"), "postings")
 
 
+def marked(tok: np.ndarray, mask: pa.Scalar) -> np.ndarray:
+    """The tokens whose bit is set in a mask of ``_prefixes``."""
+    return tok[np.unpackbits(np.frombuffer(mask.as_buffer(), np.uint8), count=len(tok)).view(bool)]
+
+
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     """Common values of two sorted arrays of distinct values."""
     if len(a) > len(b):
@@ -277,10 +291,10 @@ def _verify(threshold: int):
         for batch in batches:
             col = {c: batch.column(c) for c in batch.schema.names}
             keep = np.zeros(batch.num_rows, bool)
-            view = lambda c, i: np.frombuffer(col[c][i].as_buffer(), U64)
             for i, (na, nb) in enumerate(zip(col["n_a"].to_pylist(), col["n_b"].to_pylist())):
-                if all(shared_count(view(f"p{k}_a", i), view(f"p{k}_b", i)) for k in range(1, ORDERS)):
-                    both = shared_count(view("tok_a", i), view("tok_b", i))
+                a, b = (np.frombuffer(col[c][i].as_buffer(), U64) for c in ("tok_a", "tok_b"))
+                if all(shared_count(marked(a, col[f"m{k}_a"][i]), marked(b, col[f"m{k}_b"][i])) for k in range(1, ORDERS)):
+                    both = shared_count(a, b)
                     keep[i] = 100 * both >= threshold * (na + nb - both)
             yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(keep))
 
@@ -310,7 +324,8 @@ def _verify_blocks(threshold: int):
 
     def side(x: pa.Array) -> dict[str, np.ndarray | list[np.ndarray]]:
         out = {c: x.field(c).to_numpy() for c in ("id", "n", "c")}
-        return out | {c: [np.frombuffer(v.as_buffer(), U64) for v in x.field(c)] for c in ("tok", *(f"p{k}" for k in range(ORDERS)))}
+        tok = [np.frombuffer(v.as_buffer(), U64) for v in x.field("tok")]
+        return out | {"tok": tok} | {f"p{k}": [marked(t, m) for t, m in zip(tok, x.field(f"m{k}"))] for k in range(ORDERS)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,11 +394,12 @@ def _first_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame
     star = star.groupBy(F.least("id", "lead").alias("lo"), F.greatest("id", "lead").alias("hi")).agg(F.min(F.struct("lead", "parts")).alias("z"))
     pairs = star.select(F.col("z.lead").alias("a"), F.when(F.col("z.lead") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), F.col("z.parts").alias("parts"))
     pairs = pairs.select("a", "b", part_of("b", "parts"))
-    held = ["n", "tok", *(f"p{k}" for k in range(1, ORDERS))]  # they share a token of p0
-    side = lambda d, x: d.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held))
-    led = sets.join(parts.select(F.col("lead").alias("id"), "parts"), "id")
-    led = led.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in held), each_part("parts"))
-    return pairs.join(side(sets, "b"), "b").join(led, ["a", "k"]).mapInArrow(_verify(threshold), "a bigint, b bigint")
+    held = ["n", "tok", *(f"m{k}" for k in range(1, ORDERS))]  # they share a token of the first prefix
+    sets = sets.select("id", *held)  # both joins take it as it is, so that one exchange serves them
+    side = lambda x: [F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in held)]
+    led = sets.join(parts.select(F.col("lead").alias("id"), "parts"), "id").select(*side("a"), each_part("parts"))
+    pairs = pairs.withColumnRenamed("b", "id").join(sets, "id").select("a", "k", *side("b"))
+    return pairs.join(led, ["a", "k"]).mapInArrow(_verify(threshold), "a bigint, b bigint")
 
 
 def _second_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -394,8 +410,8 @@ def _second_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFram
     groups = materialise(groups.select("leader", "parts", "id", "n", "c").distinct(), "groups")
     chunks = groups.groupBy("leader").agg(F.max("parts").alias("parts"), F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_TOKENS)).alias("chunks"))
     dealt = groups.select("leader", "id", "c", part_of("id", "parts")).join(chunks.select("leader", "chunks", each_part("parts")), ["leader", "k"])
-    dealt = dealt.drop("k").join(sets.drop("level"), "id").groupBy("leader", F.pmod(F.xxhash64("id"), "chunks").alias("k"))
-    one = F.struct("id", "n", "c", "tok", *(f"p{k}" for k in range(ORDERS)))
+    dealt = dealt.drop("k").join(sets.drop("level", "p0"), "id").groupBy("leader", F.pmod(F.xxhash64("id"), "chunks").alias("k"))
+    one = F.struct("id", "n", "c", "tok", *(f"m{k}" for k in range(ORDERS)))
     dealt = materialise(dealt.agg(F.collect_list(one).alias("x"), F.min("c").alias("lo"), F.max("c").alias("hi")), "chunks")
     # sixteen chunks of a leader meet all that don't come before them in one task
     l = dealt.select("leader", (F.col("k") / 16).cast("bigint").alias("g"), "k", "x", "lo", "hi").alias("l")
@@ -428,7 +444,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     members = counted.where("meta").select("idx").mapInArrow(_unpack_meta, "id bigint, n bigint, a bigint, b bigint, rep bigint")
     members = materialise(members, "members")
     same, reps = _equal_sets(members)
-    schema = "id bigint, n bigint, level binary, tok binary, " + ", ".join(f"p{k} binary" for k in range(ORDERS))
+    schema = "id bigint, n bigint, level binary, p0 binary, tok binary, " + ", ".join(f"m{k} binary" for k in range(ORDERS))
     sets = counted.groupBy("block").applyInArrow(_prefixes(threshold), schema)
     sets = materialise(sets.join(reps, "id", "left_semi"), "sets")
     drop_tables(counted)

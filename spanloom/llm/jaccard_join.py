@@ -194,9 +194,10 @@ def _count(bits: int):
 
 def _unpack_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for m in batch.column("idx"):
+        for block, m in zip(batch.column("block").to_pylist(), batch.column("idx")):
             r = np.frombuffer(m.as_buffer(), META)
-            yield pa.RecordBatch.from_arrays([pa.array(r["id"], mask=r["null"]), pa.array(r["n"]), pa.array(r["a"]), pa.array(r["b"]), pa.array(r["rep"], mask=r["null"] | (r["n"] == 0))], ["id", "n", "a", "b", "rep"])
+            cols = [pa.array(r["id"], mask=r["null"]), pa.array(r["n"]), pa.array(r["a"]), pa.array(r["b"]), pa.array(r["rep"], mask=r["null"] | (r["n"] == 0)), pa.array(np.full(len(r), block))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "a", "b", "rep", "block"])
 
 
 def ranked(tok: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
@@ -206,7 +207,7 @@ def ranked(tok: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
 
 
 def _prefixes(threshold: int):
-    """Documents whose prefix holds shared tokens: (id, n, level, p0, tok, m0, m1, ...).
+    """Documents whose prefix holds shared tokens: (id, n, level, p0, tok, m0, m1, ...), of those that a block's ``reps`` name.
 
     ``tok`` holds the sorted shared tokens, and each mask a bit for each of them: whether it is in the prefix of that order.
     ``p0`` and ``level`` give the tokens of the first prefix and their classes to the posting lists, which read nothing else.
@@ -218,9 +219,11 @@ def _prefixes(threshold: int):
         return np.packbits(bits).tobytes()
 
     def run(table: pa.Table) -> pa.Table:
-        meta, idxs, toks, levels = None, [], [], []
-        for m, a, t, h, v in zip(*(table.column(c) for c in ("meta", "idx", "tok", "held_by", "level"))):
-            if m.as_py():
+        meta, reps, idxs, toks, levels = None, np.empty(0, np.int64), [], [], []
+        for m, a, t, h, v, ids in zip(*(table.column(c) for c in ("meta", "idx", "tok", "held_by", "level", "reps"))):
+            if ids.is_valid:
+                reps = ids.values.to_numpy(zero_copy_only=False)
+            elif m.as_py():
                 meta = np.frombuffer(a.as_buffer(), META)
                 own, docs, number = np.frombuffer(t.as_buffer(), U64), np.frombuffer(h.as_buffer(), np.uint16), np.frombuffer(v.as_buffer(), np.uint16).astype(np.int64)
             else:
@@ -239,7 +242,7 @@ def _prefixes(threshold: int):
             by = np.lexsort((tok, idx))
             idx, tok, level = idx[by], tok[by], level[by]
             cut = np.searchsorted(idx, np.arange(len(meta) + 1))
-            for i in np.flatnonzero(np.diff(cut)):
+            for i in np.flatnonzero((np.diff(cut) > 0) & np.isin(meta["id"], reps)):
                 n, m = int(meta["n"][i]), int(cut[i + 1] - cut[i])
                 take = n - -(-threshold * n // 100) + 1 - (n - m)
                 if take > 0:
@@ -372,13 +375,15 @@ def each_part(parts: str) -> Column:
 
 
 def _equal_sets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) that join the documents of each equal set, and the representatives (id) of all sets."""
+    """Links (a, b) that join the documents of each equal set, and for each block those ids that represent a set (block, reps)."""
     heads = members.where("rep is not null and id = rep").select("a", "b", "rep").distinct()
     parts = heads.withColumn("m", F.min("rep").over(Window.partitionBy("a", "b", F.pmod(F.xxhash64("rep"), F.lit(PARTS)))))
     tops = parts.where("rep = m").select("a", "b", "rep").withColumn("m", F.min("rep").over(Window.partitionBy("a", "b")))
     edge = lambda d, to: d.where(F.col("rep") != F.col(to)).select(F.col("rep").alias("a"), F.col(to).alias("b"))
     inside = members.where("rep is not null and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    return inside.unionByName(edge(parts, "m")).unionByName(edge(tops, "m")), tops.where("rep = m").select(F.col("rep").alias("id")).distinct()
+    reps = tops.where("rep = m").select(F.col("rep").alias("id")).distinct()
+    reps = members.where("id = rep").select("block", "id").join(reps, "id", "left_semi").groupBy("block").agg(F.collect_set("id").alias("reps"))
+    return inside.unionByName(edge(parts, "m")).unionByName(edge(tops, "m")), reps
 
 
 def _first_links(posts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -441,12 +446,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     bits = min(18, max(6, (size >> 23).bit_length()))
     scanned = docs.mapInArrow(_scan("id", "text", width, bits), "bucket int, block bigint, idx binary, hi binary, lo binary, many binary")
     counted = materialise(scanned.groupBy("bucket").applyInArrow(_count(bits), "block bigint, meta boolean, idx binary, tok binary, held_by binary, level binary"), "shared")
-    members = counted.where("meta").select("idx").mapInArrow(_unpack_meta, "id bigint, n bigint, a bigint, b bigint, rep bigint")
+    members = counted.where("meta").select("block", "idx").mapInArrow(_unpack_meta, "id bigint, n bigint, a bigint, b bigint, rep bigint, block bigint")
     members = materialise(members, "members")
     same, reps = _equal_sets(members)
     schema = "id bigint, n bigint, level binary, p0 binary, tok binary, " + ", ".join(f"m{k} binary" for k in range(ORDERS))
-    sets = counted.groupBy("block").applyInArrow(_prefixes(threshold), schema)
-    sets = materialise(sets.join(reps, "id", "left_semi"), "sets")
+    known = counted.unionByName(reps, allowMissingColumns=True)  # a block hears which of its sets stay, so that no set travels for it
+    sets = materialise(known.groupBy("block").applyInArrow(_prefixes(threshold), schema), "sets")
     drop_tables(counted)
     posts = postings(sets)
     label = components(_first_links(posts, sets, threshold), src="a", dst="b")

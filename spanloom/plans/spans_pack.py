@@ -311,7 +311,9 @@ def f5(spark, d):
     return g.select("passage_id", F.size("output").cast("bigint").alias("n"), F.md5(F.array_join("output", "|")).alias("digest"))
 
 
-@query("f7_greedy_longest")
+@query("f7_greedy_longest", sql(""", o AS (SELECT passage_id, list([{'s': s::BIGINT, 'e': e::BIGINT}] ORDER BY e - s DESC, pos) AS l FROM p GROUP BY 1),
+k AS (SELECT passage_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s <= x[1].e AND x[1].s <= y.e)) > 0 THEN a ELSE list_concat(a, x) END)) AS x FROM o)
+SELECT passage_id, x.s AS start, x.e AS "end" FROM k"""))
 def f7(spark, d):
     s = pred(spark, d).groupBy("passage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("s"))
     return s.select("passage_id", F.explode(spans.greedy_longest(F.col("s"))).alias("x")).select("passage_id", "x.*")

@@ -7,12 +7,14 @@ is small and memory is bounded by the batch (``slices``), never by the table.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import pickle
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,55 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
             spark.conf.set(key, str(value))
 
 
+#: How to drop what each module's ``kept`` functions hold.
+KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def kept(make: Callable) -> Callable:
+    """``functools.cache`` for what a Python worker keeps from task to task: it goes when a ``lean`` kernel of another module runs there."""
+    made = cache(make)
+    KEPT.setdefault(make.__module__, []).append(made.cache_clear)
+    return made
+
+
+@cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which allocators keep otherwise as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def drop_kept(but: str) -> None:
+    """Drops what other modules than ``but`` keep in this worker."""
+    for module, clears in KEPT.items():
+        if module != but:
+            for clear in clears:
+                clear()
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A kernel of ``mapInArrow`` whose worker holds no other operator's tables during a task, and no freed memory after it.
+
+    Workers outlive stages: without this an executor holds the largest stage so far beside the one that runs.
+    """
+    module = kernel.__module__
+
+    @wraps(kernel)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(module)
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -260,6 +311,7 @@ def learn_in_a_task(sample: DataFrame, fit: Callable[[list[tuple]], dict], order
     Rows come as tuples, in the given order, as long as their texts have ``most_bytes`` bytes together at most.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, left = [], most_bytes
         for batch in batches:

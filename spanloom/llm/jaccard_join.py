@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, components, drop_tables, flat, materialise, mix, ranges_hash, runs, slices, small_batches
+from .common import U64, components, drop_tables, flat, lean, materialise, mix, ranges_hash, runs, slices, small_batches
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -81,6 +81,7 @@ def _scan(id_col: str, text_col: str, width: int, bits: int):
     numbers of documents (``many``).
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -192,6 +193,7 @@ def _count(bits: int):
     return run
 
 
+@lean
 def _unpack_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, m in zip(batch.column("block").to_pylist(), batch.column("idx")):
@@ -255,6 +257,7 @@ def _prefixes(threshold: int):
     return run
 
 
+@lean
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(t, id, n, s, c): the prefix tokens of each document; s is in how many parts the list of t is dealt, by how many hold it; c is the document's component."""
     for batch in batches:
@@ -290,6 +293,7 @@ def shared_count(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(threshold: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = {c: batch.column(c) for c in batch.schema.names}
@@ -330,6 +334,7 @@ def _verify_blocks(threshold: int):
         tok = [np.frombuffer(v.as_buffer(), U64) for v in x.field("tok")]
         return out | {"tok": tok} | {f"p{k}": [marked(t, m) for t, m in zip(tok, x.field(f"m{k}"))] for k in range(ORDERS)}
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

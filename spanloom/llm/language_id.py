@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, flat, learn_in_a_task, slices, small_batches, with_columns
+from .common import U64, flat, lean, learn_in_a_task, slices, small_batches, with_columns
 
 TAGS = U64(0x1FFFFF << 42), U64(0x1FFFFE << 42)
 
@@ -131,6 +131,7 @@ def predict_language(docs: DataFrame, model: dict, text_col: str = "text", names
     docs = docs.drop(*names)
     box = docs.sparkSession.sparkContext.broadcast(model)  # at most languages x profile length
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text_col):

@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, materialise, slices, small_batches
+from .common import flat, kept, lean, materialise, slices, small_batches
 from .words import WordTable, plain_rows, split
 
 class ByteEncoder:
@@ -67,9 +66,9 @@ class ByteEncoder:
         return out
 
 
-@cache
+@kept
 def byte_encoder(tokenizer: str, ranks: str) -> ByteEncoder:
-    """One for each Python worker: the table of words serves its later tasks too."""
+    """One for each Python worker: the table of words serves its later tasks of packing too."""
     return ByteEncoder(tokenizer, ranks)
 
 
@@ -101,6 +100,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 
 
 def _cut(encoder_args: tuple[str, str], room: int, end_id: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, serial = byte_encoder(*encoder_args), TaskContext.get().partitionId(), 0
         end = np.array([end_id], np.uint32)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, flat, learn_in_a_task, ranges_hash, runs, slices, small_batches, with_columns
+from .common import U64, flat, lean, learn_in_a_task, ranges_hash, runs, slices, small_batches, with_columns
 
 BITS = 18
 STEP = U64(0x9E3779B97F4A7C15)
@@ -157,6 +157,7 @@ def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", thresho
     docs = docs.drop(*names)
     box = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB at any size
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, text_col):

@@ -109,3 +109,42 @@ def test_driver_stays_flat(spark):
     for _ in range(2):
         assert C.run(spark, sf).count() > 0
     assert resident() - before < 60
+
+
+def test_workers_hold_one_operator_at_a_time(spark):
+    """Python workers outlive stages: the packing's table of words must not stay beside the work of the next stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "ByteEncoder" for x in gc.get_objects())], pa.int64())], ["n"])
+
+    encoders = lambda: spark.range(64, numPartitions=64).mapInArrow(held, "n bigint").agg(F.sum("n")).first()[0]
+    C.packed(spark, docs.repartition(64), SF).count()
+    assert encoders() > 0
+    C.toxicity.score_toxicity(docs.repartition(64), {"table": C.toxicity.fit([])["table"], "bias": 0.0}).agg(F.sum("score")).first()
+    assert encoders() == 0
+
+
+def test_a_kernel_gives_freed_memory_back():
+    """What a task freed in small pieces goes back to the system when the task is over."""
+    from spanloom.llm.common import lean
+
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+
+    @lean
+    def kernel(batches):
+        pieces = [bytes(2000) for _ in range(60_000)]
+        last = bytes(2000)  # above the pieces, so that the heap's end does not fall by itself
+        del pieces
+        after.append(last)
+        full.append(resident())
+        yield 0
+
+    after, full = [], []
+    assert list(kernel(iter([]))) == [0]
+    assert resident() < full[0] - 60

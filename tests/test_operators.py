@@ -71,6 +71,36 @@ def test_bio(spark):
     assert sorted(tuple(r) for r in arr.collect()) == want
 
 
+def test_bio_arrays_are_linear(spark):
+    import time
+
+    odd = [["I-A", None, "I-A"], [], None, ["B", "I", "X-A", "I-A-x", "", "O"]]
+    got = [r[0] and [tuple(x) for x in r[0]] for r in spark.createDataFrame([(x,) for x in odd], "l array<string>").select(sequences.bio_decode_array(F.col("l"))).collect()]
+    assert got == [[("A", 0, 0), ("A", 2, 2)], [], None, [(None, 0, 1), ("A", 2, 3), (None, 4, 4)]]
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.lit("B-A")).alias("g")).withColumn("p", F.transform("g", lambda x, i: F.when(i % 2 == 0, x).otherwise("O")))
+    began = time.time()
+    rows = {r["type"]: (r["tp"], r["fp"], r["fn"], r["accuracy"]) for r in sequences.sequence_scores(df, "g", "p", "id").collect()}
+    assert rows["Total"] == (100_000, 0, 100_000, 0.5) and time.time() - began < 60  # a fold that appends copies 20 billion entries
+
+
+def test_words_with_offsets(spark):
+    texts = ["a  b\u00e9\U0001f600 c", "", None, " ", "x", "\u4e00 " * 70, "ab " * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = sequences.words_with_offsets(df.repartition(1), "t", ["id"])
+    few = sorted(tuple(r) for r in got.where("id < 6").select("id", "pos", "tok", "start", "end").collect())
+    want, at = [], 0
+    for i, t in enumerate(texts[:6]):
+        at = 0
+        for pos, tok in enumerate((t or "").split(" ") if t is not None else []):
+            want.append((i, pos, tok, at, at + len(tok)))
+            at += len(tok) + 1
+    assert few == sorted(want)
+    assert tuple(got.where("id = 6 and pos = 1000000").first())[1:] == (1_000_000, "", 3_000_000, 3_000_000)
+    third = sequences.words_with_offsets(df, "t", ["id"], every=3).where("id < 6")
+    assert sorted(tuple(r) for r in third.select("id", "pos", "tok", "start", "end").collect()) == sorted(x for x in want if x[1] % 3 == 0)
+    assert "Window" not in got._jdf.queryExecution().toString() and "Exchange" not in sequences.words_with_offsets(df, "t", ["id"])._jdf.queryExecution().toString()
+
+
 def test_bio_round_trip(spark):
     toks = spark.createDataFrame([("p", i, 4 * i, 4 * i + 3) for i in range(20)], "passage_id string, pos int, start int, end int")
     anns = [(0, "A", 0, 7), (1, "B", 8, 11), (2, "A", 12, 23), (3, "A", 40, 43)]

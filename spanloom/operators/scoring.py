@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .spans import bucketed_interval_join, interval_join
+from .spans import in_cells, interval_join
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -81,47 +83,138 @@ def optimal(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "pas
     """Scores of an optimal one-to-one matching of overlapping spans (of one type unless ``pool``), in all or ``by`` columns.
 
     Rows are annotations: (key, type, locations), any pair of locations may overlap. The overlap graph is a join
-    in the JVM, by position as well as passage; only its edges (pairs of row numbers) go to Python, a passage
-    and type at a time, where a maximum matching is found. What no edge touches is counted in the JVM.
+    in the JVM, by position as well as passage; only its edges go to Python, sorted by passage and type, where a
+    maximum matching is found of whole batches of them (``matching_by_group``). What no edge touches is counted in the JVM.
     """
     by = by or []
     inside = [*by, key, *([] if pool else ["type"])]  # spans of different values of these never meet
 
-    def numbered(d: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*by, key, "type", "locations").orderBy("locations")
-        d = d.withColumn("__i", F.row_number().over(w)).withColumn(name, F.concat_ws(":", F.xxhash64("type", "locations"), F.hash("type", "locations"), "__i"))
-        x = d.select(*by, key, "type", name, F.explode("locations").alias("x"))
-        return x.select(*by, key, "type", name, F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.length")).alias("end"))
-
-    r, p = numbered(ref, "rid").withColumn("__g", F.struct(*inside)), numbered(pred, "pid").select(F.struct(*inside).alias("__g"), "pid", "start", "end")
-    edges = bucketed_interval_join(r, p, "__g").select("__g", *by, "rid", F.col("r_pid").alias("pid")).distinct()
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, _ = pd.factorize(pdf["rid"])
-        b, names = pd.factorize(pdf["pid"])
-        graph: list[list[int]] = [[] for _ in range(a.max() + 1)]
-        for x, y in zip(a.tolist(), b.tolist()):
-            graph[x].append(y)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "tp": [maximum_matching(graph, len(names))]})
-
-    kinds = [f"`{c}` {ref.schema[c].dataType.simpleString()}" for c in by]
-    return _pair_counts(ref, pred, edges.groupBy("__g").applyInPandas(match, ", ".join([*kinds, "tp bigint"])), by)
+    def side(d: DataFrame, name: str) -> DataFrame:
+        """(__g, __b, start, end, name1, name2, name_n): equal annotations are one node with their number; dealt as the join asks, so counted without another exchange."""
+        x = d.select(F.struct(*inside).alias("__g"), F.xxhash64("type", "locations").alias(f"{name}1"), F.hash("type", "locations").alias(f"{name}2"), F.explode(F.array_distinct("locations")).alias("x"))
+        x = in_cells(x.select("__g", f"{name}1", f"{name}2", F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.length")).alias("end")), 512)
+        return x.repartition("__g", "__b").groupBy("__g", "__b", "start", "end", f"{name}1", f"{name}2").agg(F.count("*").alias(f"{name}n"))
+
+    r, p = side(ref, "r"), side(pred, "p").select(F.col("__g").alias("__h"), F.col("__b").alias("__c"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), "p1", "p2", "pn")
+    meet = (F.col("__g") == F.col("__h")) & (F.col("__b") == F.col("__c")) & (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
+    edges = r.join(p.hint("merge"), meet).select("__g", "r1", "r2", "rn", "p1", "p2", "pn")
+    grouped = edges.repartition("__g").sortWithinPartitions("__g")
+    types = ", ".join([*(f"`{c}` {ref.schema[c].dataType.simpleString()}" for c in by), "tp bigint"])
+    width = len(by)
+
+    def match(it):
+        held: list[pa.RecordBatch] = []
+        for batch in it:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            first = _group_starts(t.column(0))
+            if first[-1]:
+                yield from counted(t.slice(0, first[-1]), first[:-1])
+            held = [t.slice(first[-1])]  # its group may go on
+        if held:
+            yield from counted(held[0], np.zeros(1, np.int64))
+
+    def counted(t: pa.RecordBatch, first: np.ndarray):
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+        r1, r2, rn, p1, p2, pn = (t.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+        tp = matching_by_group(group, _codes(group, r1, r2), _codes(group, p1, p2), rn, pn, len(first))
+        fields = t.column(0).flatten()[:width]
+        yield pa.RecordBatch.from_arrays([*(f.take(pa.array(first)) for f in fields), pa.array(tp)], names=[*by, "tp"])
+
+    return _pair_counts(ref, pred, grouped.mapInArrow(match, types), by)
+
+
+def _group_starts(keys: pa.StructArray) -> np.ndarray:
+    """Rows where a sorted struct column changes, 0 included."""
+    new = np.zeros(len(keys), bool)
+    new[0] = True
+    for field in keys.flatten():
+        code = pc.fill_null(field.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """Dense numbers of distinct rows."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def matching_by_group(group: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, groups: int) -> np.ndarray:
+    """The size of a maximum matching of each group of a bipartite graph of edges; nodes are numbers that no two groups share and stand for several equal ones.
+
+    An edge that shares no node is counted as it is. Of the rest, a node with one edge left can always take it, so those go first, from a
+    queue; augmenting paths remain for what has cycles only.
+    """
+    found = np.zeros(groups, np.int64)
+    alone = (np.bincount(left)[left] == 1) & (np.bincount(right)[right] == 1)
+    np.add.at(found, group[alone], np.minimum(n_left, n_right)[alone])
+    around: dict[int, set[int]] = {}
+    room: dict[int, int] = {}
+    home: dict[int, int] = {}
+    for g, a, b, x, y in zip(*(c[~alone].tolist() for c in (group, left, -1 - right, n_left, n_right))):
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+        room[a], room[b], home[a] = x, y, g
+    queue = [u for u, near in around.items() if len(near) == 1]
+    while queue:
+        u = queue.pop()
+        if len(around[u]) != 1:
+            continue
+        (v,) = around[u]
+        n = min(room[u], room[v])
+        found[home[u if u >= 0 else v]] += n
+        room[v] -= n
+        around[u].clear()
+        around[v].discard(u)
+        if not room[v]:
+            for w in around[v]:
+                around[w].discard(v)
+                if len(around[w]) == 1:
+                    queue.append(w)
+            around[v].clear()
+        elif len(around[v]) == 1:
+            queue.append(v)
+    cyclic: dict[int, list[int]] = {}
+    for u, near in around.items():
+        if u >= 0 and near:
+            cyclic.setdefault(home[u], []).append(u)
+    for g, nodes in cyclic.items():
+        copies, end = {}, 0
+        for v in {v for u in nodes for v in around[u]}:
+            copies[v], end = range(end, end + room[v]), end + room[v]
+        found[g] += maximum_matching([[i for v in around[u] for i in copies[v]] for u in nodes for _ in range(room[u])], end)
+    return found
 
 
 def greedy(ref: DataFrame, pred: DataFrame, pool: bool = False, key: str = "passage_id") -> DataFrame:
-    """One-to-one matching in order of start: each reference span takes the first free overlapping prediction."""
-    edges = interval_join(ref, pred, key, same_type=not pool).select(key, "start", "end", "type", "r_start", "r_end", "r_type").distinct()
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, used = set(), set()
-        for x in pdf.sort_values(["start", "end", "type", "r_start", "r_end", "r_type"]).itertuples(index=False):
-            a, b = (x.start, x.end, x.type), (x.r_start, x.r_end, x.r_type)
-            if a not in used and b not in taken:
-                used.add(a)
-                taken.add(b)
-        return pd.DataFrame({"tp": [len(used)]})
-
-    return _pair_counts(ref, pred, edges.groupBy(key).applyInPandas(match, "tp bigint"), [])
+    """One-to-one matching in order of start: each reference span takes the first free overlapping prediction.
+
+    Pairs of a passage follow one another in a sorted partition, and Python goes through them once; a pair met again finds its ends taken.
+    """
+    order = ["start", "end", "type", "r_start", "r_end", "r_type"]
+    edges = interval_join(ref.select(key, *order[:3]), pred.select(key, *order[:3]), key, same_type=not pool).select(key, *order)
+    grouped = edges.repartition(key).sortWithinPartitions(key, *(F.col(c).asc_nulls_last() for c in order))
+
+    def match(it):
+        now, used, taken, n = object(), set(), set(), 0
+        for batch in it:
+            for k, s, e, t, rs, re, rt in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    n += len(used)
+                    now, used, taken = k, set(), set()
+                if (a := (s, e, t)) not in used and (b := (rs, re, rt)) not in taken:
+                    used.add(a)
+                    taken.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array([n + len(used)], pa.int64())], names=["tp"])
+
+    return _pair_counts(ref, pred, grouped.mapInArrow(match, "tp bigint"), [])
 
 
 def _words(c: Column) -> Column:

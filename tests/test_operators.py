@@ -71,6 +71,62 @@ def test_bio(spark):
     assert sorted(tuple(r) for r in arr.collect()) == want
 
 
+def test_matching_of_batches():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(300):
+        rows, want, at = [], [], 0
+        for g in range(rng.randint(1, 4)):
+            n, m = rng.randint(1, 5), rng.randint(1, 5)
+            many = [rng.choice((1, 1, 2)) for _ in range(n + m)]
+            edges = [(a, b) for a in range(n) for b in range(m) if rng.random() < 0.5] or [(0, 0)]
+            rows += [(g, at + a, at + b, many[a], many[n + b]) for a, b in edges + edges[:1]]
+            copies = [(b, i) for b in range(m) for i in range(many[n + b])]
+            want.append(scoring.maximum_matching([[j for j, (b, _) in enumerate(copies) if (a, b) in edges] for a in range(n) for _ in range(many[a])], len(copies)))
+            at += 10
+        assert scoring.matching_by_group(*(np.array(c) for c in zip(*rows)), len(want)).tolist() == want
+
+
+def test_matchings_over_batch_bounds(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.range(40).select(F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("passage_id"), F.lit("A").alias("type"), (F.col("id") * 4).cast("int").alias("start"), (F.col("id") * 4 + 20).cast("int").alias("end"))
+        rows = rows.unionByName(rows.limit(1)).withColumn("locations", F.array(F.struct(F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"))))
+        assert tuple(scoring.optimal(rows, rows).first())[:3] == (41, 0, 0)
+        assert tuple(scoring.greedy(rows, rows).first())[:3] == (40, 1, 1)
+        by = scoring.approx_matrix(rows.withColumn("m", F.col("passage_id")), rows.withColumn("m", F.col("passage_id")), ["m"])
+        assert sorted(r["tp"] for r in by.collect()) == [10, 10, 10, 11]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_joins_are_not_quadratic_in_a_passage(spark):
+    import time
+
+    a = spark.range(200_000).select(F.lit("p").alias("passage_id"), F.lit("A").alias("type"), (F.col("id") * 4).alias("start"), (F.col("id") * 4 + 2).alias("end"))
+    b = a.select("passage_id", "type", (F.col("start") + 2).alias("start"), (F.col("end") + 1).alias("end"))
+    began = time.time()
+    assert spans.interval_join(a, b, mode="touch").count() == 200_000 and spans.interval_join(a, b).count() == 0
+    assert spans.interval_join(a, b, mode="touch", how="left_semi").count() == 200_000 and spans.interval_join(a, b, how="left_anti").count() == 200_000
+    assert spans.unplaced(a, b, "passage_id").count() == 200_000 and spans.unplaced(a, a, "passage_id").count() == 0
+    assert time.time() - began < 60  # 40 billion pairs a join otherwise
+
+
+@pytest.mark.parametrize("mode", ["overlap", "touch", "enclosed"])
+def test_partners_match_the_join(spark, mode):
+    import random
+
+    rng = random.Random(3)
+    side = lambda: spark.createDataFrame([(rng.choice("pq") if rng.random() < 0.9 else None, rng.choice("AB"), s, s + rng.randint(0, 6)) for s in (rng.randint(0, 60) for _ in range(40))], SPAN)
+    a, b = side().withColumn("i", F.monotonically_increasing_id()), side()
+    met = {r["i"] for r in spans.interval_join(a, b, mode=mode, same_type=True).collect()}
+    got = {how: {r["i"] for r in spans.interval_join(a, b, mode=mode, same_type=True, how=how).collect()} for how in ("left_semi", "left_anti")}
+    assert got["left_semi"] == met and got["left_anti"] == {r["i"] for r in a.collect()} - met
+
+
 def test_bio_arrays_are_linear(spark):
     import time
 

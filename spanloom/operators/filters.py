@@ -51,15 +51,23 @@ TYPE_SPLITS = {
 }
 
 
+def _of_types(passages: str, types: Column, relabel: Column) -> Column:
+    """Nested passages with the annotations of some types only, their type replaced where ``relabel`` isn't null."""
+    renamed = lambda a: a.withField("infon", F.transform(a["infon"], lambda i: F.when((i["_key"] == "type") & relabel.isNotNull(), i.withField("_VALUE", relabel)).otherwise(i)))
+    keep = lambda a: F.coalesce(F.exists(a["infon"], lambda i: (i["_key"] == "type") & F.array_contains(types, i["_VALUE"])), F.lit(False))
+    return F.transform(passages, lambda p: p.withField("annotation", F.transform(F.filter(p["annotation"], keep), renamed)))
+
+
 def split_nested_by_type(docs: DataFrame, types: list[str], relabel: str | None = None) -> DataFrame:
     """Nested documents with the annotations of some types only; passages left empty stay."""
-    def renamed(a: Column) -> Column:
-        if relabel is None:
-            return a
-        return a.withField("infon", F.transform(a["infon"], lambda i: F.when(i["_key"] == "type", i.withField("_VALUE", F.lit(relabel))).otherwise(i)))
+    return docs.withColumn("passage", _of_types("passage", F.array(*map(F.lit, types)).cast("array<string>"), F.lit(relabel).cast("string")))
+
 
-    keep = lambda a: F.coalesce(F.exists(a["infon"], lambda i: (i["_key"] == "type") & i["_VALUE"].isin(types)), F.lit(False))
-    return docs.withColumn("passage", F.transform("passage", lambda p: p.withField("annotation", F.transform(F.filter(p["annotation"], keep), renamed))))
+def split_nested(docs: DataFrame, splits: dict[str, list[str]]) -> DataFrame:
+    """Every split of nested documents, by its ``name``, in one pass over them; several types of a split are relabelled ``merged``."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, v)).cast("array<string>").alias("types"), F.lit("merged" if len(v) > 1 else None).cast("string").alias("relabel")) for k, v in splits.items()))
+    x = docs.select("*", F.explode(kinds).alias("__k"))
+    return x.withColumn("passage", _of_types("passage", F.col("__k.types"), F.col("__k.relabel"))).withColumn("name", F.col("__k.name")).drop("__k")
 
 
 def clear_annotations(docs: DataFrame, relations: bool = True) -> DataFrame:

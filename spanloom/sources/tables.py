@@ -22,9 +22,15 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(ok.alias("f")).select(F.col("f")[0].alias("name"), F.col("f")[1].alias("id")).withColumn("stem", stem_phrase(F.col("name")))
 
 
-def read_abbreviations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, short, long, load_order), where both forms end in ``s`` with a second row without it, and the malformed lines."""
-    rows = _lines(spark, path).withColumn("f", F.split("value", "\t")).withColumn("n", F.monotonically_increasing_id())
+def read_abbreviations(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, short, long, load_order), where both forms end in ``s`` with a second row without it, and the malformed lines.
+
+    Of several files the order is that of ``files`` (__name, __i).
+    """
+    rows = _lines(spark, path).withColumn("n", F.monotonically_increasing_id())
+    if files is not None:
+        rows = rows.withColumn("__name", F.col("_metadata.file_name")).join(F.broadcast(files), "__name").withColumn("n", F.col("__i") * F.lit(1 << 47) + F.col("n"))
+    rows = rows.select("value", "n", F.split("value", "\t").alias("f"))
     good = rows.where(F.size("f") >= 3).select("n", *(F.col("f")[i].alias(c) for i, c in enumerate(("doc_id", "short", "long"))))
     return with_singular(good), rows.where(F.size("f") < 3).select("value")
 

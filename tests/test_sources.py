@@ -56,6 +56,37 @@ def test_nested_transforms(spark, folder):
     assert A.merge_collections(spark, {"one": str(folder / "in"), "two": str(folder / "in")}).select("set_name").distinct().count() == 2
 
 
+def test_splits_in_one_pass(spark, folder):
+    docs = A.read_collection(spark, str(folder / "in"))
+    got = filters.split_nested(docs, filters.TYPE_SPLITS)
+    for name, types in filters.TYPE_SPLITS.items():
+        want = filters.split_nested_by_type(docs, types, "merged" if len(types) > 1 else None)
+        show = lambda d: sorted(map(str, A.annotations(d).select("ann_id", "type").collect()))
+        assert show(got.where(F.col("name") == name)) == show(want)
+
+
+def test_bounded_files_by_many_tasks(spark, tmp_path):
+    p = spark.range(60).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("passage_idx"), F.lit(0).alias("offset"), F.lit("t").alias("text"), F.create_map(F.lit("a"), F.lit("b")).alias("infons"))
+    a = p.where("doc_id < '3'").select("doc_id", "passage_idx", F.lit(0).alias("ann_idx"), F.lit("x").alias("ann_id"), "infons", F.array(F.struct(F.lit(0).alias("offset"), F.lit(1).alias("length"))).alias("locations"), "text")
+    A.write_bounded(p, a, str(tmp_path / "out"), 25, compression="gzip")
+    back = A.read_collection(spark, str(tmp_path / "out"), pattern="")
+    assert sorted(r["count"] for r in back.groupBy("file").count().collect()) == [10, 25, 25]
+    assert A.annotations(back).count() == a.count() and back.select("id").distinct().count() == 60
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "out").glob("part-*"))
+
+
+def test_abbreviations_of_many_files(spark, tmp_path):
+    xml = XML.replace("cell_phenotype", "ABBR").replace("cell_vague", "ABBR")
+    (tmp_path / "a 1.xml").write_text(xml)
+    (tmp_path / "b.xml").write_text(xml.replace(">MSC<", ">TC<"))  # the same ids: relations stay in their file
+    for i in range(30):
+        (tmp_path / f"c{i:02}.tsv").write_text(f"d1\tMSC\tlong {i}\nd{i}x\tQ\tlong {i}\n")
+    out = A.read_abbreviation_files(spark, str(tmp_path))
+    rows = {(r["doc_id"], r["short"]): r["long"] for r in out.collect()}
+    assert rows[("d1", "MSC")] == rows[("d1", "TC")] == "T cell" and rows[("d7x", "Q")] == "long 7" and len(rows) == 32
+    assert out._jdf.queryExecution().toString().count("FileScan text") <= 4  # one read of all such files, not one a file
+
+
 def test_side_tables(spark, tmp_path):
     def write(name, text):
         (tmp_path / name).write_text(text)

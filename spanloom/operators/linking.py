@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,19 +146,32 @@ def top_k_blocked(queries: DataFrame, terms: DataFrame, k: int = 10, query: str
     n_queries = max(1, -(-queries.count() // block))
     q = packed(queries, query, F.pmod(F.xxhash64(query), F.lit(n_queries))).select(F.col("x").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("slot"))
 
+    def unpacked(x: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+        rows = x.flatten()
+        keys, vectors = rows.field("key"), rows.field("v")
+        m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return keys, m / np.where(n > 0, n, 1.0)
+
     def meet(it):
-        for pdf in it:
-            for a, b in zip(pdf["q"], pdf["x"]):
-                qk, tk = (np.array([r["key"] for r in s]) for s in (a, b))
-                qv, tv = (np.array([r["v"] for r in s], np.float64) for s in (a, b))
-                qv, tv = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (qv, tv))
-                d = 1.0 - qv @ tv.T
-                for i in range(len(qk)):
-                    best = np.lexsort((tk, d[i]))[:k]
-                    yield pd.DataFrame({query: qk[i], term: tk[best], "distance": d[i, best]})
+        for batch in it:
+            for i in range(len(batch)):
+                (qk, qv), (tk, tv) = (unpacked(c.slice(i, 1)) for c in batch.columns)
+                place = pc.rank(tk).to_numpy(zero_copy_only=False)
+                for at in range(0, len(qk), 512):
+                    d = 1.0 - qv[at : at + 512] @ tv.T
+                    most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < len(tk) else np.inf
+                    row, col = np.nonzero(d <= most)  # k of each row, and all that tie with the last
+                    order = np.lexsort((place[col], d[row, col], row))
+                    row, col = row[order], col[order]
+                    first = np.searchsorted(row, np.arange(len(d)))
+                    keep = np.arange(len(row)) - first[row] < k
+                    row, col = row[keep], col[keep]
+                    yield pa.RecordBatch.from_arrays([qk.slice(at, 512).take(pa.array(row)), tk.take(pa.array(col)), pa.array(d[row, col])], names=[query, term, "distance"])
 
     kind = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, query), (terms, term))}
-    found = t.join(q, "slot").select("q", "x").mapInPandas(meet, f"`{query}` {kind[query]}, `{term}` {kind[term]}, distance double")
+    # blocks of queries go to every block of terms: dealt by a shuffle, never through the driver, however small the files look
+    found = t.join(q.hint("merge"), "slot").select("q", "x").mapInArrow(meet, f"`{query}` {kind[query]}, `{term}` {kind[term]}, distance double")
     w = Window.partitionBy(query).orderBy("distance", term)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, "rank", term, "distance")
 

@@ -62,6 +62,52 @@ def test_greedy_spans(spark):
     assert got == [[(2, 9)], [(5, 9), (0, 2), (3, 4)], []]
 
 
+def test_greedy_spans_are_not_quadratic(spark):
+    import time
+
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 1).alias("end"))).alias("s"))
+    began = time.time()
+    assert df.select(F.size(spans.greedy_longest(F.col("s")))).first()[0] == 100_000 and time.time() - began < 60  # 5 billion tests if each asks all before
+    assert spark.sql("SELECT cast(null AS array<struct<start:int,end:int>>) AS s").select(spans.greedy_longest(F.col("s"))).first()[0] is None
+
+
+def test_word_index_hits_as_phrase_hits(spark):
+    from spanloom.functions.text import phrase_hits
+
+    texts = ["a-b a a-b_a\u00a0a", "b,b,b b", "", "x \u0130b (a) a", "aa a aa", "- a -", ", , ,"]
+    phrases = ["a", "b", "a-b", "a a", "-", "b,b", ", ,", "aa", "(a)", "\u0130b"]
+    df = spark.createDataFrame([(t, p) for t in texts for p in phrases], "t string, p string")
+    exact = [(r["t"], r["p"], [h["start"] for h in r["h"]]) for r in df.select("t", "p", phrase_hits(F.col("t"), F.col("p")).alias("h")).collect()]
+    for t, p, want in exact:
+        assert (spans.WordIndex(t).hits(p) or spans.WordIndex(t.lower()).hits(p.lower())) == want, (t, p)
+
+
+def test_mentions_are_placed_in_one_pass(spark):
+    import time
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.concat(F.lit("w"), i.cast("string")))
+    p = spark.range(1).select("id", F.lit(0).alias("offset"), F.array_join(words, " ").alias("text"))
+    m = spark.range(1).select("id", F.explode(words).alias("mention")).withColumns({"type": F.lit("A"), "ord": F.lit(0)})
+    began = time.time()
+    assert spans.place_mentions(p, m, "id").count() == 20_000 and time.time() - began < 60  # each mention read all the text
+
+
+def test_top_k_keeps_ties_and_is_not_broadcast(spark):
+    v = spark.range(30).select("id", F.array(F.lit(1.0), F.when(F.col("id") < 25, 1.0).otherwise(2.0)).cast("array<float>").alias("vector"))
+    top = linking.top_k_blocked(v.where("id = 0").withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "term_id"), k=3, block=7)
+    assert [(r["rank"], r["term_id"]) for r in top.orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2)]
+    assert "Broadcast" not in top._jdf.queryExecution().toString()
+    assert linking.top_k_blocked(v.withColumnRenamed("id", "query_id"), v.limit(2).withColumnRenamed("id", "term_id"), k=3).count() == 60
+
+
+def test_placed_spans_keep_texts(spark):
+    p = spark.createDataFrame([("d", 0, 0, "caf\u00e9 ab"), ("d", 1, 8, "\U0001f600x y")], "doc_id string, passage_idx int, offset int, text string")
+    s = spark.createDataFrame([("d", 5, 7, "A"), ("d", 5, 7, "A"), ("d", 8, 10, "B"), ("d", 6, 9, "C")], "doc_id string, start int, end int, type string")
+    out = sequences.place_spans(s, p)
+    assert sorted(map(tuple, out.collect())) == [("d", 0, 5, 7, "A", "ab"), ("d", 1, 8, 10, "B", "\U0001f600x")]
+    assert out.columns == ["doc_id", "passage_idx", "start", "end", "type", "text"]
+
+
 def test_bio(spark):
     labels = ["B-A", "I-A", "O", "I-A", "I-B", "B-B"]
     toks = spark.createDataFrame([("d", i, i, i + 1, x) for i, x in enumerate(labels)], "doc_id string, pos int, start int, end int, label string")

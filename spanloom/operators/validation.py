@@ -53,10 +53,10 @@ def _narrow(anns: DataFrame, passages: DataFrame) -> DataFrame:
 
     Adds n (locations), start and end of the first, ``inside`` (within the passage) and ``there`` (what the passage says there).
     """
-    p = passages.select("file", "passage_uid", "passage_id", F.col("offset").alias("__o"), F.col("text").alias("__t"))
+    p = passages.select("file", "passage_uid", "passage_id", F.col("offset").alias("__o"), F.col("text").alias("__t"), F.length("text").alias("__n"))  # counted once a passage, not once an annotation
     first = F.try_element_at("locations", F.lit(1))
     start, end = first["offset"], first["offset"] + first["length"]
-    inside = (start >= F.col("__o")) & (end <= F.col("__o") + F.length("__t"))
+    inside = (start >= F.col("__o")) & (end <= F.col("__o") + F.col("__n"))
     there = F.when(inside, F.substring(F.col("__t"), start - F.col("__o") + 1, end - start))
     out = anns.join(p, "passage_uid").select("file", "passage_uid", "passage_id", "ann_idx", "type", "identifier", "text", "locations", F.size("locations").alias("n"), start.alias("start"), end.alias("end"), inside.alias("inside"), there.alias("there"))
     path = scratch(anns.sparkSession, "validation")

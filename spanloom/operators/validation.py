@@ -18,6 +18,7 @@ from ..model import ENTITY_TYPES
 from ..session import scratch
 from .spans import bucketed_interval_join, encloses
 
+BLOCK = 512
 REPORT = ("severity", "file", "passage_id", "general", "specific")
 
 
@@ -53,11 +54,16 @@ def _narrow(anns: DataFrame, passages: DataFrame) -> DataFrame:
 
     Adds n (locations), start and end of the first, ``inside`` (within the passage) and ``there`` (what the passage says there).
     """
-    p = passages.select("file", "passage_uid", "passage_id", F.col("offset").alias("__o"), F.col("text").alias("__t"), F.length("text").alias("__n"))  # counted once a passage, not once an annotation
+    # the text goes in blocks of code points: a place is then found without a walk from the text's beginning for each annotation
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / BLOCK).cast("int")), lambda j: F.substring(F.col("text"), j * BLOCK + 1, F.lit(BLOCK)))
+    p = passages.select("file", "passage_uid", "passage_id", F.col("offset").alias("__o"), F.length("text").alias("__n"), blocks.alias("__t"))
     first = F.try_element_at("locations", F.lit(1))
     start, end = first["offset"], first["offset"] + first["length"]
     inside = (start >= F.col("__o")) & (end <= F.col("__o") + F.col("__n"))
-    there = F.when(inside, F.substring(F.col("__t"), start - F.col("__o") + 1, end - start))
+    at, size = start - F.col("__o"), end - start
+    j = F.floor(at / BLOCK).cast("int")
+    near = F.substring(F.concat(F.get("__t", j), F.coalesce(F.get("__t", j + 1), F.lit(""))), at % BLOCK + 1, size)
+    there = F.when(inside, F.when(size <= BLOCK, near).otherwise(F.substring(F.array_join("__t", ""), at + 1, size)))
     out = anns.join(p, "passage_uid").select("file", "passage_uid", "passage_id", "ann_idx", "type", "identifier", "text", "locations", F.size("locations").alias("n"), start.alias("start"), end.alias("end"), inside.alias("inside"), there.alias("there"))
     path = scratch(anns.sparkSession, "validation")
     out.write.parquet(path)

@@ -108,6 +108,15 @@ def test_placed_spans_keep_texts(spark):
     assert out.columns == ["doc_id", "passage_idx", "start", "end", "type", "text"]
 
 
+def test_texts_at_block_bounds(spark):
+    text = "".join(chr(97 + i % 23) if i % 7 else "\u00e9" for i in range(1500))
+    at = [(0, 3), (510, 4), (511, 1), (512, 512), (1023, 477), (100, 1000), (0, 1500), (1499, 1), (1000, 512), (1499, 2)]
+    p = spark.createDataFrame([("f", "u", "1_0", "1", None, 7, text)], "file string, passage_uid string, passage_id string, pmid string, pmc string, offset int, text string")
+    a = spark.createDataFrame([("u", i, "cell_phenotype", "None", text[s : s + n], [(s + 7, n)]) for i, (s, n) in enumerate(at)], "passage_uid string, ann_idx int, type string, identifier string, text string, locations array<struct<offset:int,length:int>>")
+    found = {r["ann_idx"]: (r["inside"], r["there"]) for r in validation._narrow(a, p).collect()}
+    assert found == {i: (s + n <= 1500, text[s : s + n] if s + n <= 1500 else None) for i, (s, n) in enumerate(at)}
+
+
 def test_bio(spark):
     labels = ["B-A", "I-A", "O", "I-A", "I-B", "B-B"]
     toks = spark.createDataFrame([("d", i, i, i + 1, x) for i, x in enumerate(labels)], "doc_id string, pos int, start int, end int, label string")
